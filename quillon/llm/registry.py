@@ -1,6 +1,7 @@
 """The queries of this subpackage by name, and SQL for those that it can express."""
 
+from quillon.llm.neardup import op4_minhash_near_dedup
 from quillon.llm.quality import op8_quality_rules
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op8_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
