@@ -97,13 +97,13 @@ def owner(off: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(off, at, "right") - 1
 
 
-def words(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text index) of every word."""
+def words(off: np.ndarray, data: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text index) of every word; ``space`` marks the bytes that part words."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = ~SPACE[data]
+    inside = ~space[data]
     before = np.empty(n + 1, bool)
     before[0] = before[n] = False
     before[1:] = inside
@@ -119,6 +119,20 @@ def words(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, owner(off, start)
 
 
+#: Bytes other than ASCII letters and digits and the parts of wider characters.
+PUNCTUATION = np.array([not (chr(b).isalnum() or b >= 0x80) for b in range(256)])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """A copy in lower case, as far as U+00DE."""
+    low = _LOWER[data]
+    wide = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+    low[wide] += 32
+    return low
+
+
 def word_hashes(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text index) of every word."""
     start, end, doc = words(off, data)
