@@ -1,8 +1,9 @@
 """The queries of this subpackage by name, and SQL for those that it can express."""
 
 from quillon.llm.decontaminate import OP6_SQL, op6_benchmark_decontamination
+from quillon.llm.language import op5_language_id
 from quillon.llm.neardup import op4_minhash_near_dedup
 from quillon.llm.quality import op8_quality_rules
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op6_benchmark_decontamination, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op5_language_id, op6_benchmark_decontamination, op8_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": OP6_SQL}
