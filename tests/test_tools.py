@@ -1,0 +1,149 @@
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.functions.text import entropy, redacted
+from quillon.operators import report, suppress
+from quillon.operators.match import findings
+from quillon.plans import tools
+from quillon.sources import files as source
+from quillon.sources.corpus import code_lines
+from quillon.streaming.scan import stream_findings
+from tests.conftest import SF
+
+
+def _said(response):
+    return json.loads(response["content"][0]["text"])
+
+
+@pytest.fixture()
+def project(tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.js").write_text("const x = 1\r\n  eval(x)  \nfetch('http://plain.org')\n")
+    (tmp_path / "src" / "b.py").write_text("token = \"abcdefgh12345678\"\n")
+    (tmp_path / "vendor").mkdir()
+    (tmp_path / "vendor" / "c.js").write_text("new Function('x')\n")
+    (tmp_path / "bin.dat").write_bytes(b"\xff\xfe\x00")
+    return tmp_path
+
+
+def test_scan_directory(spark, project):
+    said = _said(tools.scan_directory(spark, str(project)))
+    assert (said["filesScanned"], said["filesSkipped"], said["filesWithFindings"], said["totalFindings"]) == (3, 1, 3, 4)
+    assert [f["filePath"] for f in said["files"]] == ["src/a.js", "vendor/c.js", "src/b.py"]
+    first = said["files"][0]["findings"]
+    assert [(f["line"], f["ruleId"], f["lineContent"]) for f in first] == [(2, "EVAL_USAGE", "eval(x)"), (3, "HTTP_NO_TLS", "fetch('http://plain.org')")]
+    assert "baseline" not in said
+    assert sum(said["summary"].values()) == said["totalFindings"]
+
+
+def test_settings_and_baseline(spark, project):
+    (project / ".quillon.json").write_text(json.dumps({"ignorePaths": ["vendor"], "ignoreRules": ["HTTP_NO_TLS"], "minimumSeverity": "high"}))
+    said = _said(tools.scan_directory(spark, str(project)))
+    assert {f["filePath"] for f in said["files"]} == {"src/a.js", "src/b.py"} and said["totalFindings"] == 2
+    known = spark.createDataFrame([(said["files"][0]["findings"][0]["fingerprint"],)], "fingerprint string")
+    less = _said(tools.scan_directory(spark, str(project), known=known))
+    assert less["totalFindings"] == 1 and less["baseline"]["suppressedFindings"] == 1
+
+
+def test_arguments(spark, project):
+    assert tools.scan_directory(spark, str(project / "none"))["isError"]
+    assert "max_files" in _said(tools.scan_directory(spark, str(project), 0))["error"]
+    assert _said(tools.check_dependencies(spark, None))["hint"]
+    assert tools.post_security_review(spark, "a/b", "r", 1, summary="s")["isError"]
+    assert tools.post_security_review(spark, "a", "r", 1_000_001, summary="s")["isError"]
+    assert tools.post_security_review(spark, "a", "r", 1, [{"path": "p", "line": 1, "body": "b"}] * 51)["isError"]
+    assert tools.post_security_review(spark, "a", "r", 1, [{"path": "p", "line": 0, "body": "b"}])["isError"]
+    assert tools.scan_git_history(spark, str(project), 5001)["isError"]
+
+
+def test_review(spark):
+    said = _said(tools.post_security_review(spark, "o", "r", 3, [{"path": "a.js", "line": 2, "body": "x"}], "done"))
+    assert said == {"pr": "o/r#3", "totalActions": 2, "posted": 2, "failed": 0, "results": [{"type": "inline_comment", "path": "a.js", "line": 2, "status": "posted"}, {"type": "review", "action": "COMMENT", "status": "posted"}]}
+    empty = _said(tools.post_security_review(spark, "o", "r", 3))
+    assert empty["totalActions"] == 0 and "posted" not in empty
+
+
+@pytest.mark.parametrize(
+    ("name", "text", "want"),
+    [
+        ("package.json", '{"dependencies": {"a": "^1.2.0"}, "devDependencies": {"b": "2.0.0"}}', {("a", "1.2.0"), ("b", "2.0.0")}),
+        ("package-lock.json", '{"packages": {"": {"version": "9.9.9"}, "node_modules/a": {"version": "1.0.0"}}}', {("a", "1.0.0")}),
+        ("requirements.txt", "# x\nA==1.0\nb[x]>=2.1 ; python_version\nc\n", {("A", "1.0"), ("b", "2.1")}),
+        ("poetry.lock", '[[package]]\nname = "a"\nversion = "1.0"\n\n[[package]]\nname = "b"\nversion = "2.0"\n', {("a", "1.0"), ("b", "2.0")}),
+        ("Cargo.lock", '[[package]]\nname = "a"\nversion = "1.0.3"\n', {("a", "1.0.3")}),
+        ("go.mod", "module m\n\nrequire (\n\tgithub.com/x/y v1.2.3\n)\n", {("github.com/x/y", "v1.2.3")}),
+        ("Gemfile.lock", "GEM\n  specs:\n    rack (2.0.1)\n      sub (>= 1)\n", {("rack", "2.0.1")}),
+        ("composer.lock", '{"packages": [{"name": "v/p", "version": "1.0"}]}', {("v/p", "1.0")}),
+        ("pom.xml", "<dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version></dependency>", {("g:a", "1")}),
+    ],
+)
+def test_manifests(spark, tmp_path, name, text, want):
+    (tmp_path / name).write_text(text)
+    assert {(r["package"], r["version"]) for r in source.manifest(spark, str(tmp_path / name)).collect()} == want
+
+
+def test_check_dependencies(spark, tmp_path):
+    (tmp_path / "package.json").write_text('{"dependencies": {"a": "1.2.0", "b": "3.0.0"}}')
+    advisories = spark.createDataFrame([("A", "npm", "X1", "high", "t", "u", "1.10.0", None), ("b", "npm", "X2", "low", "t", "u", "3.0.0", None), ("b", "npm", "X3", "odd", "t", "u", None, "2")], tools.ADVISORY)
+    said = _said(tools.check_dependencies(spark, advisories, package_json_path=str(tmp_path / "package.json")))
+    assert [v["advisory_id"] for v in said["vulnerabilities"]] == ["X1", "X3"]
+    assert said["summary"] == {"critical": 0, "high": 1, "medium": 0, "low": 0, "info": 0, "odd": 1}
+
+
+def test_git_history(spark, tmp_path):
+    rows = [{"commit_hash": f"h{i}", "commit_date": f"2024-01-0{i}T00:00:00Z", "file_path": "a.py", "patch": f"@@\n-old\n+token = \"abcdefgh1234567{i}\"\n+ok"} for i in range(1, 4)]
+    (tmp_path / "c.json").write_text("\n".join(map(json.dumps, rows)))
+    said = _said(tools.scan_git_history(spark, str(tmp_path / "c.json"), 2))
+    assert [(f["commit_hash"], f["line"]) for f in said["findings"]] == [("h3", 3), ("h2", 3)]
+    assert "abcdefgh1234" not in json.dumps(said)
+
+
+def test_sums_agree(spark):
+    found = findings(code_lines(spark, SF))
+    files = report.by_file(found)
+    n = found.count()
+    assert files.agg(F.sum("total_findings")).first()[0] == n
+    assert sum(report.summary(found).first()) == n
+    counts = [suppress.threshold(found, s).count() for s in ("critical", "high", "medium", "low", "info")]
+    assert counts == sorted(counts) and counts[-1] == n
+    ranks = sorted(r["rank"] for r in report.ranked(files).collect())
+    assert ranks == list(range(1, files.count() + 1))
+    assert [r["file_path"] for r in report.ordered(files).limit(20).collect()] == [r["file_path"] for r in report.top(files, 20).orderBy("rank").collect()]
+
+
+def test_empty_inputs(spark):
+    none = spark.createDataFrame([], "ord long, file_path string, language string, line int, text string")
+    found = findings(none)
+    assert found.count() == 0
+    assert tuple(report.summary(found).first()) == (0, 0, 0, 0, 0)
+    assert report.envelope(found, none).first()["files_scanned"] == 0
+
+
+def test_entropy_and_redaction(spark):
+    df = spark.createDataFrame([("",), ("aaaa",), ("abcd",), ("aab",)], "v string")
+    got = [(round(r[0], 4), r[1]) for r in df.select(entropy(F.col("v")), redacted(F.col("v"))).collect()]
+    assert got == [(0.0, "...[0]"), (0.0, "aaaa...[4]"), (2.0, "abcd...[4]"), (0.9183, "aab...[3]")]
+
+
+def test_stream_gives_what_a_batch_gives(spark, tmp_path):
+    batch = spark.createDataFrame([(1, "a.js", "javascript", "eval(x)\nok"), (2, "b.js", "javascript", "ok")], "ord long, file_path string, language string, text string")
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    q = stream_findings(stream).writeStream.format("memory").queryName("found").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r["ord"], r["line"], r["rule_id"]) for r in spark.table("found").collect()] == [(1, 1, "EVAL_USAGE")]
+
+
+def test_rest_stands_without_the_training_operators():
+    """No module outside the subpackage names it."""
+    root = os.path.join(os.path.dirname(os.path.dirname(__file__)), "quillon")
+    for folder, _, names in os.walk(root):
+        if "llm" in os.path.relpath(folder, root).split(os.sep):
+            continue
+        for n in names:
+            if n.endswith(".py"):
+                assert "quillon.llm" not in open(os.path.join(folder, n)).read()
