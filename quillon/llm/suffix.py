@@ -77,7 +77,7 @@ def byte_suffix_array(off: np.ndarray, data: np.ndarray, watch: int) -> tuple[np
     symbol = np.zeros(256, np.int64)
     symbol[used] = np.arange(1, len(used) + 1)
     bits = int(len(used)).bit_length()
-    width = 63 // bits
+    width = min(63 // bits, watch)
     code = symbol[data]
     end = np.repeat(off[1:], np.diff(off))
     left = end - np.arange(n)
