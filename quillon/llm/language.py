@@ -70,6 +70,8 @@ class Model:
     def __init__(self, langs: list[str], grams: list[tuple[np.ndarray, np.ndarray]], order: int, states: int):
         """grams: for each language the sorted numbers of its n-grams (of order + 1 bytes) and their counts."""
         self.langs, self.order = langs, order
+        if not langs:
+            return
         seen = np.unique(np.concatenate([np.unique((g[:, None] >> (8 * np.arange(order + 1))) & 255) for g, _ in grams])) if langs else np.zeros(0, np.int64)
         # Bytes that no language has seen behave alike in every context, so they share symbol 0.
         self.symbol = np.zeros(256, np.int64)

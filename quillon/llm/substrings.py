@@ -5,8 +5,9 @@ one before.  Strings are judged on the input; matches never cross documents.
 
 1. Whole copies: of equal texts only the one with the least id is searched; the others go whole (one row per text is
    shuffled, combined before).
-2. Shards: each task sorts all suffixes of a few megabytes of documents (Larsson-Sadakane), Kasai's common prefixes give the
-   classes of equal strings of ``least`` bytes, and all but the earliest of a class in the shard are marked there.
+2. Shards: each task sorts all suffixes of a megabyte or two of documents, or of a part of one longer document
+   (Larsson-Sadakane); Kasai's common prefixes give the classes of equal strings of ``least`` bytes, and all but the
+   earliest of a class in the shard are marked there.
 3. Anchors: what is left are the earliest strings of each shard.  Every string contains an anchor, its least-hashed run of
    ``K`` bytes; neighbours with the same anchor form a stretch.  Stretches are brought together by their anchor's hash.
    A stretch equal to an earlier one goes whole.
@@ -57,6 +58,25 @@ def _spans(start: np.ndarray, least: int) -> np.ndarray:
     return np.stack([start[at], start[np.r_[at[1:] - 1, len(start) - 1]] + least], axis=1)
 
 
+def segments(off: np.ndarray, data: np.ndarray, least: int, shard: int):
+    """Shards (first text, off, data, base): whole texts, or part of one that is longer than a shard.
+
+    Parts of a text overlap by least - 1 bytes, so every string lies whole in one of them; base is where a part starts.
+    """
+    i, n = 0, len(off) - 1
+    while i < n:
+        size = int(off[i + 1] - off[i])
+        if size <= shard:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + shard, "right")) - 1)
+            yield i, off[i : j + 1] - off[i], data[off[i] : off[j]], 0
+            i = j
+        else:
+            for base in range(0, size - least + 1, shard):
+                part = data[off[i] + base : min(off[i + 1], off[i] + base + shard + least - 1)]
+                yield i, np.array([0, len(part)]), part, base
+            i += 1
+
+
 def search(ids: np.ndarray, off: np.ndarray, data: np.ndarray, least: int = LEAST, k: int = K):
     """What a shard finds: removed (text, from, to) and stretches (anchor, content, text, start, windows).
 
@@ -157,7 +177,7 @@ def _ordered(ids: Column) -> Column:
     return F.coalesce(ids.cast("long"), F.lit(_LAST))
 
 
-def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, shard_bytes: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(docs, spans): docs has (id, key, text, whole), spans (key, spans: sorted array of from, to) of what goes.
 
     ``whole`` marks copies of texts that are kept elsewhere; they have no spans.
@@ -174,9 +194,12 @@ def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
 
     def shard(batches):
         for batch in batches:
-            for part, off, data in blocks(batch, "text", SHARD):
-                ids = part.column("key").to_numpy(zero_copy_only=False)
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            for i, off, data, base in segments(*buffers(batch.column("text")), least, shard_bytes):
+                ids = keys[i : i + len(off) - 1]
                 removed, rows = search(ids, off, data, least)
+                removed[:, 1:] += base
+                rows[:, 3] += base
                 gone = [np.full(len(removed), 0, np.int64), np.full(len(removed), 0, np.int64), ids[removed[:, 0]], removed[:, 1], -removed[:, 2]]
                 # Removed spans ride along, spread by their document, and are told apart by b < 0.
                 gone[0] = mix(gone[2].astype(np.int64).view(U) + removed[:, 1].astype(U)).view(np.int64)
@@ -251,9 +274,9 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[
     return b"".join(out), [(a, b) for a, b in runs]
 
 
-def deduplicate(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def deduplicate(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, shard_bytes: int = SHARD) -> DataFrame:
     """(id, n_bytes, runs: array of from, to; kept: binary) of every row."""
-    docs, spans = repeats(df, doc, text, least)
+    docs, spans = repeats(df, doc, text, least, shard_bytes)
     kind = df.schema[doc].dataType
 
     def run(batches):
