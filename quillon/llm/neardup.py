@@ -11,9 +11,12 @@ classes are the connected components of pairs at ``threshold`` or above:
 
 1. equal texts are one class before anything else (a count and a minimum per text, combined before the shuffle);
 2. in each bucket every member is compared with one leader only;
-3. after components of these links, only members of different components that share a bucket are compared.
+3. after components of these links, only members of different components that share a bucket are compared: each with each in
+   buckets of up to ``FAN`` such members; in larger ones only pairs that also share one of their rarest shingles, as
+   any pair at the threshold must (prefix filter: of n shingles at least one of the n - ceil(threshold n) + 1 rarest).
 
-So every candidate pair is either verified or already known to be of one class, and no link between classes is lost.
+So every candidate pair is verified, known to be of one class or known to be below the threshold; no link between classes is lost,
+and a passage that fills the buckets of many texts doesn't make pairs of them all.
 
 Null text counts as empty.  Equal texts share a class even without words; otherwise a text without words is like none.
 Texts of one to four words have one shingle, all their words.  Rows with a null id belong to the class of their text,
@@ -26,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.bytesets import U, mix, per_text, shingles, word_hashes
@@ -35,6 +38,8 @@ from quillon.llm.rows import annotate, cut, read
 
 _GOLD = U(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
+#: Members of different components up to which all of a bucket are compared.
+FAN = 32
 
 
 def cells(sh: np.ndarray, doc: np.ndarray, weights: str = "set") -> np.ndarray:
@@ -127,6 +132,22 @@ def identified(df: DataFrame, doc: str, text: str) -> DataFrame:
     return df.select(F.col(doc).alias("id"), t.alias("text"), F.unhex(F.md5(t)).alias("twin"))
 
 
+def _across(members: DataFrame) -> DataFrame:
+    """(a, b) of members (at, node, component) of different components at one place."""
+    left = members.select("at", F.col("node").alias("a"), F.col("component").alias("ca"))
+    right = members.select("at", F.col("node").alias("b"), F.col("component").alias("cb"))
+    return left.join(right, "at").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _rarest(sets: DataFrame, threshold: float) -> DataFrame:
+    """(at, node, component): the rarest shingles of each set, of which two sets at the threshold share one; shingles of one set are left out."""
+    each = sets.select("node", "component", F.size("x").alias("n"), F.explode("x").alias("at"))
+    common = each.groupBy("at").agg(F.count("*").alias("f"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("f", "at"))
+    ranked = each.join(common, "at").withColumn("rank", rank)
+    return ranked.where((F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1) & (F.col("f") > 1)).select("at", "node", "component")
+
+
 def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.8, n_words: int = 5, k: int = 96, rows: int = 4, weights: str = "set") -> DataFrame:
     """(id, twin, node, class_id) for each row of df: node is the least id of equal texts, class_id that of the class."""
     docs = identified(df, doc, text)
@@ -154,9 +175,13 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", thre
     placed = members.select("bucket", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     open_ = cut(placed.join(mixed, "bucket").distinct())
-    left = open_.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = left.join(right, "bucket").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    sizes = open_.groupBy("bucket").agg(F.count("*").alias("members"))
+    few = open_.join(sizes.where(F.col("members") <= FAN).select("bucket"), "bucket").select(F.col("bucket").alias("at"), "node", "component")
+    crowd = open_.join(sizes.where(F.col("members") > FAN).select("bucket"), "bucket").select("node", "component").distinct()
+    across = _across(few)
+    if not crowd.isEmpty():
+        across = across.unionByName(_across(_rarest(sets.join(crowd, "node"), threshold)))
+    across = across.distinct().join(star, ["a", "b"], "left_anti")
     more = cut(alike(across))
     if not more.isEmpty():
         second = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterable
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,9 +69,10 @@ def shared(spark: SparkSession) -> None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), f"quillon-checkpoints-{os.getuid()}")
+        folder = tempfile.mkdtemp(prefix="quillon-checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
 
 
@@ -85,9 +86,3 @@ def read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFra
     df = spark.read.parquet(f"{folder}/{table}.parquet")
     return df.select(*columns) if columns else df
 
-
-def hexes(digests: list[str]) -> pa.Array:
-    return pa.array(digests, pa.string())
-
-
-__all__ = ["BATCH_BYTES", "F", "T", "annotate", "bounded", "cut", "fresh", "hexes", "np", "read", "shared"]

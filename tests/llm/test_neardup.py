@@ -114,3 +114,21 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 7), (5, 5)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 10: 7} | {100 + i: 100 for i in range(41)}
+
+
+def test_crowded_buckets(spark, monkeypatch):
+    """Texts that share a long passage fill each other's buckets; a few are alike in the rest, too."""
+    from quillon.llm import neardup
+
+    passage = prose(900, 260)
+    texts = {i: passage + " " + prose(2000 + i, 110) for i in range(150)}
+    for i in range(150, 158):
+        w = texts[i - 150].split()
+        w[300] = f"new{i}"
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    want = classes(texts)
+    for fan in (2, 32):
+        monkeypatch.setattr(neardup, "FAN", fan)
+        assert {r["id"]: r["class_id"] for r in near_duplicates(df).collect()} == want
+    assert len(set(want.values())) == 150
