@@ -30,6 +30,12 @@ def _template(words: str) -> str:
     return r"`[^`]*\$\{[^}]*?(?:" + words + ")"
 
 
+def _debug(end: str) -> str:
+    """A debug switch that is on, or an application set to its development environment; ``end`` ends a bare value."""
+    switch = rf"(?:^|[^\w.])debug{_WS}[:=]{_WS}(?:{_QUOTE}true{_QUOTE}|(?:1|true){end})"
+    return switch + "|" + _WS.join([r"app\.set", r"\(", f"{_QUOTE}env{_QUOTE}", ",", rf"{_QUOTE}development{_QUOTE}\)"])
+
+
 @dataclass(frozen=True)
 class Rule:
     rule_id: str
@@ -82,7 +88,7 @@ RULES: list[Rule] = [
     _rule("CORS_WILDCARD", "medium", "miscellaneous", 942, ANY, "origin", rf"(?:Access-Control-Allow-)?origin{_WS}[:=]{_WS}{_QUOTE}?\*", "Every origin is allowed.", "List the origins that you trust.", literal=True),
     _rule("CSRF_DISABLED", "high", "miscellaneous", 352, JS, "csrf|csurf", rf"csurf.*disable|csrf{_WS}[:=]{_WS}false", "Protection against forged requests is off.", "Leave it on for requests that change state."),
     _rule("HTTP_NO_TLS", "low", "miscellaneous", 319, ANY, "http://", rf"http://(?!{_TLS_FREE_RE})", "A plain HTTP address.", "Use HTTPS.", cased=True, re2=rf"len(regexp_extract_all(t, 'http://')) > len(regexp_extract_all(t, 'http://(?:{_TLS_FREE_RE})'))"),
-    _rule("DEBUG_MODE_PROD", "medium", "miscellaneous", 489, ANY, "debug|app.set", rf"(?:^|[^\w.])debug{_WS}[:=]{_WS}(?:{_QUOTE}true{_QUOTE}|(?:1|true)(?!\w))|app\.set{_WS}\({_WS}{_QUOTE}env{_QUOTE}{_WS},{_WS}{_QUOTE}development{_QUOTE}\)", "Debugging is on.", "Let the environment turn it on, never in production.", literal=True, re2=r"""regexp_matches(t, '(?i)(?:^|[^\w.])debug\s*[:=]\s*(?:[''"]true[''"]|(?:1|true)(?:\W|\z))|app\.set\s*\(\s*[''"]env[''"]\s*,\s*[''"]development[''"]\)')"""),
+    _rule("DEBUG_MODE_PROD", "medium", "miscellaneous", 489, ANY, "debug|app.set", _debug(r"(?!\w)"), "Debugging is on.", "Let the environment turn it on, never in production.", literal=True, re2="regexp_matches(t, '(?i)" + _debug(r"(?:\W|\z)").replace("'", "''") + "')"),
     _rule("STACK_TRACE_LEAK", "medium", "miscellaneous", 209, JS, "res.send|res.json|console.", rf"(?:console\.(?:error|log){_WS}\({_WS}err(?:or)?\.stack|res\.(?:json|send){_WS}\({_WS}err(?:or)?\.(?:message|stack))", "Internals of an error get out.", "Log them and answer in general terms.", cased=True),
     _rule("OPEN_REDIRECT", "medium", "miscellaneous", 601, JS + PY, "redirect|location", rf"(?:location|redirect){_WS}[(=]{_WS}(?:body\.|query\.|{_TAINT})", "Input decides where a browser is sent.", "Allow own paths only."),
     _rule("RATE_LIMIT_MISSING", "medium", "miscellaneous", 307, JS, "app.", rf"app\.(?:delete|patch|post|put){_WS}\({_WS}{_QUOTE}/(?:auth|forgot|login|register|reset|signup)", "A sign-in route; see that its rate is limited.", "Put a limiter before it.", literal=True),
