@@ -43,13 +43,16 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _OUT = frozenset("nav header footer aside form button select option dialog menu svg math object audio video canvas head map fieldset datalist".split())
 _OUT_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _OUT_NAME = (
-    "ad|ads|adv|advert|adverts|advertisement|advertising|advertorial|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|notification|alert|"
-    "newsletter|subscribe|subscription|signup|paywall|sidebar|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|header|masthead|comment|comments|commentlist|disqus|respond|"
+    "ad|ads|adsbygoogle|adsense|adbox|adslot|adunit|adv|advert|adverts|advertisement|advertising|advertorial|sponsor|sponsored|promo|promotion|banner|cookie|cookies|cookiebar|cookiebanner|consent|gdpr|notice|notices|notification|alert|announcement|disclaimer|toast|"
+    "newsletter|subscribe|subscription|signup|paywall|sidebar|side|aside|rail|nav|navbar|navigation|topnav|subnav|sidenav|topbar|sitemap|toc|menu|menus|breadcrumb|breadcrumbs|footer|header|masthead|comment|comments|commentlist|discussion|replies|responses|disqus|respond|"
     "share|sharing|social|related|recommended|recommendations|popup|modal|overlay|widget|toolbar|pagination|pager|skip-link|copyright|search|login|outbrain|taboola"
 )
 _OUT_CLASS = re.compile(rf"(?:{_OUT_NAME})(?:[-_].*|\d*)|(?!(?:has|with|no|without|is)[-_]).*[-_](?:{_OUT_NAME})", re.I)
 _COMMENT_CLASS = re.compile(r"(?:comment|comments|reply|ad|ads|advert\w*|sponsored|related|teaser)(?:[-_].*|\d*)", re.I)
-_CONTENT_CLASS = re.compile(r"(?:main|content|article|post|entry|story|page|text|body)[-_]?(?:content|body|text|main|article|area|wrapper|inner)?", re.I)
+_CONTENT_CLASS = re.compile(r"(?:main|page|article|post|entry|story|text|body)?[-_]?(?:content|article|post|entry|story)[-_]?(?:body|text|main|area|wrapper|inner)?|(?:article|post|entry|story)[-_]?(?:body|text|main)", re.I)
+_MAIN_CLASS = re.compile(r"(?:main|text|body)[-_]?(?:area|column|text|inner)?", re.I)
+#: Regions: an element named as the main part, one named as content, article or main.
+_NAMED, _CONTENT, _ARTICLE = 1, 2, 3
 #: Elements that end when one of their kind (or the named ones) begins.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BOUNDS = frozenset("ul ol dl table body article main div section".split())
@@ -76,7 +79,8 @@ def _names(attributes: str) -> tuple[str, str, bool]:
 def blocks(html: str) -> tuple[list[tuple[str, str, int, bool, float]], list[str]]:
     """Text blocks (path, text, region, out, share of link characters) and the paths of elements, in page order.
 
-    Region is 2 inside article or main, 1 inside an element named as content, else 0; ``out`` is boilerplate by name.
+    Region is 3 inside article or main, 2 or 1 inside an element named as content or as the main part, else 0; ``out`` is
+    boilerplate by name.
     """
     found: list[tuple[str, str, int, bool, float]] = []
     elements: list[str] = []
@@ -126,6 +130,9 @@ def blocks(html: str) -> tuple[list[tuple[str, str, int, bool, float]], list[str
         if tag == "a":
             inside = 1
         attributes = m[5]
+        if tag in _INLINE and stack[-1][0] == tag:  # inside an inline element that is left out: its end is not the outer one's
+            stack.append(stack[-1])
+            continue
         if tag in _INLINE and not attributes:
             continue
         role, names, hidden = _names(attributes) if attributes.strip(" /") else ("", "", False)
@@ -164,9 +171,12 @@ def blocks(html: str) -> tuple[list[tuple[str, str, int, bool, float]], list[str
         _, path, region, out = stack[-1]
         path = f"{path}/{tag}.{'.'.join(named)}" if len(stack) < 40 else path
         if tag in ("article", "main") or role in ("main", "article"):
-            region = 2
-        elif named and region == 0 and tag in ("div", "section", "td") and any(_CONTENT_CLASS.fullmatch(x) for x in named):
-            region = 1
+            region = _ARTICLE
+        elif named and region < _CONTENT and tag in ("div", "section", "td"):
+            if any(_CONTENT_CLASS.fullmatch(x) for x in named):
+                region = _CONTENT
+            elif any(_MAIN_CLASS.fullmatch(x) for x in named):
+                region = _NAMED
         elements.append(path)
         stack.append((tag, path, region, out or bad))
     flush()
@@ -248,7 +258,8 @@ def article(html: str | None, template: frozenset[int], often: frozenset[int]) -
     for path, text, where, _, links in usable:
         if where < region or where == 0 and links > 0.5:
             continue
-        if (often if where == 2 else template) and _place(path, text) in (often if where == 2 else template):
+        repeated = often if where == _ARTICLE else template
+        if repeated and _place(path, text) in repeated:
             continue
         kept.append(text)
     return " ".join(kept)

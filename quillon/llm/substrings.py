@@ -14,6 +14,10 @@ one before.  Strings are judged on the input; matches never cross documents.
 4. Merging: where stretches with one anchor differ, the strings of each distinct stretch are looked up, by binary search, in
    the sorted strings of those before.
 
+No anchor's rows have to meet in one task.  Anchors that a sample of ``SAMPLE`` documents shows in many of them are salted by
+content in step 3, all their stretches going on to step 4; and stretches of an anchor that has more than ``CROWD`` of them are
+merged string by string: by each string's hash and a salt first, then the earliest of each salt by the hash alone.
+
 So each text is read a bounded number of times and shards are never compared in pairs: the shuffle holds about one row for 40
 bytes.  Equality of strings across shards is that of 128 bits of hashes (within a shard it is exact).
 
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +43,11 @@ SHARD = 1_500_000
 _LAST = (1 << 63) - 1
 #: Ids of whole copies that are sent to all tasks at most; more are joined.
 BROADCAST_ROWS = 200_000
+#: Documents that are sampled for common anchors; an anchor in more than one of COMMON of them is common.
+SAMPLE, COMMON = 5_000, 200
+#: Stretches of one anchor that one task merges.
+CROWD = 5_000
+SALTS = 1024
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -190,25 +200,11 @@ def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
     twins = cut(twins)
     few = twins.count() <= BROADCAST_ROWS
     docs = docs.join(F.broadcast(twins) if few else twins, "twin", "left").select("id", "key", "text", F.coalesce(F.col("key") > F.col("first"), F.lit(False)).alias("whole"))
-    names = ["anchor", "content", "key", "a", "b"]
-
-    def shard(batches):
-        for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            for i, off, data, base in segments(*buffers(batch.column("text")), least, shard_bytes):
-                ids = keys[i : i + len(off) - 1]
-                removed, rows = search(ids, off, data, least)
-                removed[:, 1:] += base
-                rows[:, 3] += base
-                gone = [np.full(len(removed), 0, np.int64), np.full(len(removed), 0, np.int64), ids[removed[:, 0]], removed[:, 1], -removed[:, 2]]
-                # Removed spans ride along, spread by their document, and are told apart by b < 0.
-                gone[0] = mix(gone[2].astype(np.int64).view(U) + removed[:, 1].astype(U)).view(np.int64)
-                made = [rows[:, 0], rows[:, 1], ids[rows[:, 2]], rows[:, 3], rows[:, 4]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y]).astype(np.int64)) for x, y in zip(gone, made, strict=True)], names=names)
-
-    found = docs.where("not whole").where(F.octet_length("text") >= least).select("key", "text").mapInArrow(shard, "anchor long, content long, key long, a long, b long")
-    by = Window.partitionBy("anchor").orderBy("content", "key", "a")
-    everywhere = Window.partitionBy("anchor").orderBy("content", "key", "a").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    texts = docs.where("not whole").where(F.octet_length("text") >= least).select("key", "text")
+    common = _common(texts, least, shard_bytes)
+    found = texts.mapInArrow(_sharder(least, shard_bytes, common), _FOUND)
+    by = Window.partitionBy("anchor", "salt").orderBy("content", "key", "a")
+    everywhere = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     one = F.col("b") > 0
     judged = (
         found.withColumn("before", F.lag(F.struct("content", "key", "a", one.alias("one"))).over(by))
@@ -218,29 +214,118 @@ def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
     twin = F.coalesce(F.col("before.one") & (F.col("before.content") == F.col("content")), F.lit(False))
     # The same start of the same document (rows with one id) is not earlier.
     late = twin & ~((F.col("before.key") == F.col("key")) & (F.col("before.a") == F.col("a")))
-    judged = judged.select("anchor", "key", "a", "b", F.when(~one | late, F.lit(0)).when(F.col("low") < F.col("high"), F.lit(1)).alias("kind")).where("kind is not null")
+    judged = judged.select("anchor", "key", "a", "b", F.when(~one | late, F.lit(0)).when((F.col("low") < F.col("high")) | (F.col("salt") > 0), F.lit(1)).alias("kind")).where("kind is not null")
     judged = cut(judged)
     spans = judged.where("kind = 0").select("key", "a", F.when(F.col("b") < 0, -F.col("b")).otherwise(F.col("a") + F.col("b") + (least - 1)).alias("b"))
-    wanted = judged.where("kind = 1").groupBy("key").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("stretches"))
+    open_ = judged.where("kind = 1")
+    crowded = open_.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("anchor", F.lit(True).alias("crowded"))
+    wanted = open_.join(crowded, "anchor", "left").groupBy("key").agg(F.collect_list(F.struct("anchor", "a", "b", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("stretches"))
+    places = texts.join(wanted, "key").mapInArrow(_cutter(least), "anchor long, key long, a long, context binary")
+    salt = F.when(F.col("context").isNull(), F.pmod(F.xxhash64("key", "a"), F.lit(SALTS))).otherwise(F.lit(0))
+    places = places.withColumn("salt", salt.cast("int")).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "key", "a")
+    merged = places.mapInArrow(_merger(least), "string long, key long, a long, b long, kind int")
+    # Firsts of a salt meet by their string; spans that are settled are spread and pass.
+    spread = F.when(F.col("kind") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("key", "a"), F.lit(SALTS)) + 1)
+    first = F.first(F.struct("key", "a")).over(Window.partitionBy("string", "spread").orderBy("key", "a"))
+    merged = merged.withColumn("spread", spread).withColumn("first", first)
+    merged = merged.where((F.col("kind") == 0) | (F.col("first.key") != F.col("key")) | (F.col("first.a") != F.col("a"))).select("key", "a", "b")
+    spans = spans.unionByName(merged).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    return docs, cut(spans)
+
+
+_FOUND = "anchor long, salt int, content long, key long, a long, b long"
+
+
+def _sharder(least: int, shard_bytes: int, common: np.ndarray | None):
+    """Searches the shards of a task; with ``common`` None only the stretches are given."""
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            for i, off, data, base in segments(*buffers(batch.column("text")), least, shard_bytes):
+                ids = keys[i : i + len(off) - 1]
+                removed, rows = search(ids, off, data, least)
+                removed[:, 1:] += base
+                rows[:, 3] += base
+                if common is None:
+                    removed = removed[:0]
+                # Removed spans ride along, spread by their document, and are told apart by b < 0.
+                key = ids[removed[:, 0]]
+                spread = mix(key.astype(np.int64).view(U) + removed[:, 1].astype(U)).view(np.int64)
+                salt = np.zeros(len(rows), np.int32)
+                if common is not None and len(common):
+                    hot = np.isin(rows[:, 0], common)
+                    salt[hot] = 1 + (rows[hot, 1].view(U) % U(SALTS)).astype(np.int32)
+                none = np.zeros(len(removed), np.int64)
+                columns = [(spread, rows[:, 0]), (none.astype(np.int32), salt), (none, rows[:, 1]), (key, ids[rows[:, 2]]), (removed[:, 1], rows[:, 3]), (-removed[:, 2], rows[:, 4])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["anchor", "salt", "content", "key", "a", "b"])
+
+    return run
+
 
-    def contexts(batches):
+def _common(texts: DataFrame, least: int, shard_bytes: int) -> np.ndarray:
+    """Anchors with many different stretches in a sample of documents.  It decides on salts alone, never on results.
+
+    There are at most COMMON of them for each anchor that a document has on average.
+    """
+    n = texts.count()
+    few = texts.where(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(max(1, n // SAMPLE))) == 0)
+    found = few.mapInArrow(_sharder(least, shard_bytes, None), _FOUND)
+    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > max(10, min(n, SAMPLE) // COMMON))
+    return np.array(sorted(r["anchor"] for r in often.select("anchor").toLocalIterator()), np.int64)
+
+
+def _cutter(least: int):
+    """The bytes of each asked stretch; of a crowded anchor's stretches instead the hash of each string."""
+
+    def run(batches):
         for batch in batches:
             lists = batch.column("stretches")
             off, data = buffers(batch.column("text"))
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             lo = np.asarray(lists.offsets)
             flat = lists.values
-            anchor, a, b = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            which = np.repeat(np.arange(len(keys)), np.diff(lo))
-            anchor, a, b = anchor[lo[0] : lo[-1]], a[lo[0] : lo[-1]], b[lo[0] : lo[-1]]
-            s = off[which] + a
+            anchor, a, b, crowded = (flat.field(i).to_numpy(zero_copy_only=False)[lo[0] : lo[-1]] for i in range(4))
+            key = keys[np.repeat(np.arange(len(keys)), np.diff(lo))]
+            s = off[np.repeat(np.arange(len(keys)), np.diff(lo))] + a
             raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(keys[which]), pa.array(a), pa.array([raw[x : x + y + least - 1] for x, y in zip(s.tolist(), b.tolist(), strict=True)], pa.binary())], names=["anchor", "key", "a", "context"])
+            cold, hot = np.flatnonzero(~crowded.astype(bool)), np.flatnonzero(crowded)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[cold]), pa.array(key[cold]), pa.array(a[cold]), pa.array([raw[x : x + y + least - 1] for x, y in zip(s[cold].tolist(), b[cold].tolist(), strict=True)], pa.binary())], names=["anchor", "key", "a", "context"])
+            if len(hot):
+                sums = prefix(data)
+                for some in np.array_split(hot, len(hot) // 20_000 + 1):
+                    row = np.repeat(some, b[some])
+                    nth = np.arange(len(row)) - np.repeat(np.cumsum(b[some]) - b[some], b[some])
+                    w = span_hash(sums, s[row] + nth, s[row] + nth + least)
+                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(key[row]), pa.array(a[row] + nth), pa.nulls(len(row), pa.binary())], names=["anchor", "key", "a", "context"])
+
+    return run
+
+
+def _merger(least: int):
+    """Strings that are not the earliest of those that come together, as spans (kind 0); of hashed ones also the earliest (kind 1)."""
+    names = ["string", "key", "a", "b", "kind"]
+
+    def hashed(part, last):
+        w, salt, key, a = (part.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "salt", "key", "a"))
+        same = np.r_[last is not None and (w[0], salt[0]) == last[:2], (w[1:] == w[:-1]) & (salt[1:] == salt[:-1])]
+        i = np.arange(len(w))
+        head = np.maximum.accumulate(np.where(same, -1, i))
+        first_key, first_a = np.where(head < 0, last[2] if last else 0, key[head]), np.where(head < 0, last[3] if last else 0, a[head])
+        late = same & ((first_key != key) | (first_a != a))
+        kind = np.where(late, 0, 1).astype(np.int32)
+        made = pa.RecordBatch.from_arrays([pa.array(w), pa.array(key), pa.array(a), pa.array(a + least), pa.array(kind)], names=names)
+        return made, (w[-1], salt[-1], first_key[-1], first_a[-1])
 
-    def merge(batches):
+    def run(batches):
         state: list[np.ndarray] = []
+        last = None
         for batch in batches:
-            for part, off, data in blocks(batch, "context", SHARD):
+            bare = batch.column("context").is_null()
+            if batch.column("context").null_count:
+                made, last = hashed(batch.filter(bare), last)
+                yield made
+            for part, off, data in blocks(batch.filter(pc.invert(bare)), "context", SHARD):
                 anchor, key, a = (part.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "key", "a"))
                 seen = _lookup(state, anchor, key, a, off, data, least)
                 size = np.diff(off) - least + 1
@@ -250,12 +335,9 @@ def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
                 new = np.r_[True, (row[1:] != row[:-1]) | (nth[1:] != nth[:-1] + 1)] if len(row) else np.zeros(0, bool)
                 at = np.flatnonzero(new)
                 stop = np.r_[at[1:] - 1, len(row) - 1] if len(at) else at
-                yield pa.RecordBatch.from_arrays([pa.array(key[row[at]]), pa.array(a[row[at]] + nth[at]), pa.array(a[row[stop]] + nth[stop] + least)], names=["key", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[row[at]]), pa.array(key[row[at]]), pa.array(a[row[at]] + nth[at]), pa.array(a[row[stop]] + nth[stop] + least), pa.array(np.zeros(len(at), np.int32))], names=names)
 
-    places = docs.where("not whole").select("key", "text").join(wanted, "key").mapInArrow(contexts, "anchor long, key long, a long, context binary")
-    merged = places.repartition("anchor").sortWithinPartitions("anchor", "key", "a").mapInArrow(merge, "key long, a long, b long")
-    spans = spans.unionByName(merged).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    return docs, cut(spans)
+    return run
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:

@@ -25,6 +25,9 @@ NONE = frozenset()
         ("<article>a<form>f<input></form><aside>s</aside><div class='ad'>x</div><div id=comments><p>c</p></div>b</article>", "a b"),
         ("<main><div class='cookie-notice'>n</div><section class='comments-area'>c</section><p>t</p></main>", "t"),
         ("<body class='has-sidebar'><div class='sidebar'>s</div><div class='content'><p>t</p></div></body>", "t"),
+        ("<div id=page><p>out</p><div id=main><p>out too</p><div class='post-content'><p>in</p></div></div></div>", "in"),
+        ("<div id=main><p>in</p><div class='user-comments'>c</div><div class='right-rail'>r</div><div class=adsbygoogle>x</div></div><p>out</p>", "in"),
+        ("<article>a <span class=ad>x <span>y</span> z</span> b <span>c</span></article>", "a b c"),
         ("<div role=banner>h</div><div role=main>t</div><div role='contentinfo'>f</div>", "t"),
         ("<article>a<div hidden>h</div><span style='display: none'>x</span><i aria-hidden=true>y</i>b</article>", "a b"),
         ("<article><p>unclosed <b>bold<div class=ad>x</div>tail</article>after", "unclosed bold tail"),

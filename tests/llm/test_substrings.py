@@ -4,6 +4,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.llm import substrings
 from quillon.llm.substrings import deduplicate, op2_suffix_array_dedup
 from tests.llm.conftest import ODD, prose
 
@@ -29,9 +30,11 @@ def run(df, **more):
     return {r[0]: tuple(r)[1:] for r in made.select("id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")), F.size("runs"), F.sha2("kept", 256)).collect()}
 
 
-@pytest.mark.parametrize("shard_bytes", [2_000, 20_000, 1_500_000])
-def test_any_sharding_gives_the_same(spark, shard_bytes):
-    """Copies, shared passages, near copies, periodic and long texts, in shuffled order."""
+@pytest.mark.parametrize(("shard_bytes", "common", "crowd"), [(2_000, 200, 5_000), (20_000, 200, 5_000), (1_500_000, 200, 5_000), (2_000, 1_000, 3), (2_000, 200, 0), (20_000, 1_000, 5_000)])
+def test_any_sharding_gives_the_same(spark, monkeypatch, shard_bytes, common, crowd):
+    """Copies, shared passages, near copies, periodic and long texts, in shuffled order; with and without salts."""
+    monkeypatch.setattr(substrings, "COMMON", common)
+    monkeypatch.setattr(substrings, "CROWD", crowd)
     passage = prose(50, 60)
     docs = []
     for i in range(40):
