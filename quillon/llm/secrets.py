@@ -17,13 +17,15 @@ null.  Only lengths of parts, not texts, are shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.rows import fresh, read
 
 _TO = r"""["']?\x20*[:=]\x20*["']?"""
-#: kind, pattern, group of the value, least length of the value, what a text has if the pattern matches (a quick test).
+#: kind, pattern, group of the value, least length of the value.
 PATTERNS = [
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))""" + _TO + r"""([A-Za-z0-9+/_.=-]+)""", 2, 12),
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
@@ -33,21 +35,30 @@ PATTERNS = [
     ("blob", r"[A-Za-z0-9+/]{32,}", 0, 32),
     ("endpoint", r"(?i:(https?|ftp|jdbc|postgres|mysql|mongodb|redis|amqp|host|endpoint|server))(?:://|" + _TO + r")([A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z0-9.:/_-]+)", 2, 4),
 ]
+#: What a text in lower case has one of if a kind's pattern matches: a quick test before the regular expression.
+ANCHORS = {
+    "assign": ("passw", "secret", "token", "apikey", "api_key"), "access": ("akia",), "user": ("user", "login", "clientid", "client_id", "accountid", "account_id", "keyid", "key_id"),
+    "short": ("pass", "secret", "token", "apikey", "api_key", "pwd"), "endpoint": ("http", "ftp", "jdbc", "postgres", "mysql", "mongodb", "redis", "amqp", "host", "endpoint", "server"),
+}
 BASE = 3
 REACH = 200
 #: Roles of kinds, by number: identifiers, secrets.
 _IDENTIFIERS, _SECRETS = (1, 3), (0, 2, 4, 5)
 
 
-def _found(text: Column, number: int) -> Column:
+def _found(text: Column, low: Column, number: int) -> Column:
     """Each match of a kind, with the length of what lies between it and the match before; lengths in code points."""
-    _, pattern, group, _ = PATTERNS[number]
+    kind, pattern, group, _ = PATTERNS[number]
     p = F.lit(pattern)
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(group)).alias("value"))
     mixed = lambda x: x.rlike("[0-9]") & x.rlike("[A-Z]") & x.rlike("[a-z]") if PATTERNS[number][0] == "blob" else F.lit(True)
     rows = F.transform(zipped, lambda z, i: F.struct(F.lit(number).alias("kind"), i.alias("i"), F.length(z.gap).alias("gap"), F.length(z.hit).alias("hit"), F.when(mixed(z.hit), F.length(z.value)).otherwise(0).alias("value")))
     empty = F.array().cast("array<struct<kind:int,i:int,gap:int,hit:int,value:int>>")
-    return F.when(text.rlike(pattern), F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0)))).otherwise(empty)
+    may = text.rlike(pattern)
+    if kind in ANCHORS:
+        assigned = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")) if kind != "access" else F.lit(True)
+        may = assigned & reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in ANCHORS[kind])) & may
+    return F.when(may, F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0)))).otherwise(empty)
 
 
 def parts(df: DataFrame, row: str, text: str, carried: list[str], reach: int = REACH) -> DataFrame:
@@ -56,8 +67,10 @@ def parts(df: DataFrame, row: str, text: str, carried: list[str], reach: int = R
     ``row`` names rows apart; the columns ``carried`` are on the line with null kind only.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    low = fresh(df, "low")
+    df = df.withColumn(low, F.lower(t))
     own = F.array(F.lit(None).cast("struct<kind:int,i:int,gap:int,hit:int,value:int>"))
-    lines = df.select(row, *carried, F.posexplode(F.concat(own, *(_found(t, k) for k in range(len(PATTERNS))))).alias("nth", "p"))
+    lines = df.select(row, *carried, F.posexplode(F.concat(own, *(_found(t, F.col(low), k) for k in range(len(PATTERNS))))).alias("nth", "p"))
     lines = lines.select(row, *(F.when(F.col("nth") == 0, F.col(c)).alias(c) for c in carried), "p.*").repartition(row)
     along = Window.partitionBy(row, "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.col("hit")).over(along.rowsBetween(Window.unboundedPreceding, 0))
