@@ -8,7 +8,8 @@ position is the longest suffix of up to ``order`` bytes that is in the trees.  A
 length; ``score`` is that language's posterior under equal priors.
 
 Counts are taken over all learning rows: per task in numpy, then summed per (language, n-gram) in Spark.  ``states`` bounds
-the longest contexts kept (those with most occurrences, over all languages), and so the model that tasks receive.
+the longest contexts kept (those with most occurrences, over all languages), ``most_grams`` the n-grams of each language
+(the commonest), and so the model that tasks receive.
 
 Null texts and those without a letter are ``und`` with score 0; so is every text if no row can be learned from.  Rows with null
 language teach nothing.  Ties between languages go to the first in order of name.  Repeated rows each count and each
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.bytesets import blocks
@@ -28,6 +29,8 @@ from quillon.llm.rows import annotate, bounded, fresh, read
 ORDER = 3
 #: Contexts of the highest order that are kept.
 STATES = 60_000
+#: n-grams of each language, the commonest, of which a model is made; counts are taken over all before.
+GRAMS = 1_000_000
 
 
 def _codes(off: np.ndarray, data: np.ndarray, order: int) -> np.ndarray:
@@ -136,13 +139,11 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame, order: int = ORDER, states: int = STATES) -> Model:
-    """A model of rows (lang, text); only counts of n-grams come to the driver: the commonest 1,000,000 of each language."""
+def learn(docs: DataFrame, order: int = ORDER, states: int = STATES, most_grams: int = GRAMS) -> Model:
+    """A model of rows (lang, text); only counts of n-grams come to the driver: the commonest ``most_grams`` of each language."""
     docs = docs.where("lang is not null and text is not null and text <> ''")
     found = counts(docs, order)
-    from pyspark.sql import Window
-
-    top = found.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= 1_000_000)
+    top = found.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= most_grams)
     table = top.select("lang", "gram", "n").toArrow()
     lang = np.asarray(table.column("lang").to_pylist(), object)
     gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
