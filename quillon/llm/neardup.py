@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 
 from quillon.llm.bytesets import U, mix, per_text, shingles, word_hashes
 from quillon.llm.components import components
-from quillon.llm.rows import annotate, cut, read
+from quillon.llm.rows import annotate, cut, read, release
 
 _GOLD = U(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
+#: Ids that are sent to all tasks at most; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Members of different components up to which all of a bucket are compared.
 FAN = 32
 
@@ -156,9 +158,12 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", thre
     spread = nodes.where("node is not null and bands is not null").select("node", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader"), F.max("node").alias("last")).where("n > 1 and leader <> last")
     members = cut(spread.join(shared.select("bucket", "leader"), "bucket"))
-    chosen = members.select("node").distinct()
-    sets = docs.join(chosen.withColumnRenamed("node", "id"), "id", "left_semi")
+    del nodes, spread, shared
+    release(df.sparkSession)
+    chosen = members.select(F.col("node").alias("id")).distinct()
+    sets = docs.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, "id", "left_semi")
     sets = cut(annotate(sets, "text", _sets(n_words, weights), "x array<long>", ["id"], "s").select(F.col("id").alias("node"), F.col("s.x").alias("x")))
+    release(df.sparkSession)
 
     def alike(pairs: DataFrame) -> DataFrame:
         """The pairs at the threshold or above, exactly."""

@@ -82,6 +82,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop what nothing refers to any more, so that shuffle files behind a cut table are removed now, not at some later collection."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{table}.parquet")
     return df.select(*columns) if columns else df
