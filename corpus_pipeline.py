@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.decontaminate import contained
-from quillon.llm.neardup import near_duplicates
+from quillon.llm.neardup import BROADCAST_ROWS, near_duplicates
 from quillon.llm.packing import pack, public
 from quillon.llm.quality import judge
-from quillon.llm.rows import fresh, shared
+from quillon.llm.rows import cut, fresh, shared
 from quillon.llm.secrets import redact
 
 
@@ -27,18 +27,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates (operator 4): that with the least id; of rows with that text, one."""
-    twin = fresh(docs, "twin")
-    found = near_duplicates(docs)
-    stay = found.where("node is null or node = class_id").select(F.col("twin").alias(twin)).distinct()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn(twin, F.unhex(F.md5(text)))
-    # The row of the least id speaks for its text: its id is compared before texts move.
-    first = found.groupBy("twin").agg(F.min("id").alias("id")).withColumnRenamed("twin", twin)
-    ids = first.join(stay, twin, "left_semi").withColumnRenamed("id", fresh(docs, "first_id"))
-    at = fresh(docs, "first_id")
-    kept = marked.join(ids, twin).where(F.col("doc_id").eqNullSafe(F.col(at)))
-    return kept.dropDuplicates([twin]).select(*docs.columns)
+    """One document of each class of near duplicates (operator 4): that with the least id.
+
+    Of rows with the same id and text one stays.  Texts move only if more rows go than a broadcast may hold, or rows repeat.
+    """
+    twin, drop = fresh(docs, "twin"), fresh(docs, "gone")
+    found = cut(near_duplicates(docs).select("id", "twin", (F.col("id").eqNullSafe(F.col("node")) & F.coalesce(F.col("class_id") == F.col("node"), F.lit(True))).alias("stays")))
+    gone = found.where("not stays").select("id", F.col("twin").alias(twin), F.lit(True).alias(drop)).distinct()
+    few = found.where("not stays").count() <= BROADCAST_ROWS
+    marked = docs.withColumn(twin, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    same = (marked[twin] == gone[twin]) & marked["doc_id"].eqNullSafe(gone["id"])
+    kept = marked.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    if not found.where("stays").groupBy("id", "twin").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([twin])
+    return kept.select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
