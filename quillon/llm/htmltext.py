@@ -9,10 +9,13 @@ nested into each other are the host's template, and what is not template text is
 The article is the slots inside ``article`` or ``main`` (else inside an element named as content, else all slots that aren't
 mostly links), without elements that are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles or reader comments by their tag, role or class.  Template text is left out as well; within an article only if it is
-on nine tenths of at least eight pages, since copies of an article are no template.
+on nine tenths of at least eight pages.
+
+Copies of a page make no template: pages of a host whose article is the same before template text is left out count as
+one, by the page with the least hash of its html, so repeated rows and copies with other menus or adverts keep their text.
 
 Occurrence vectors are never gathered: each is a sum of page hashes, combined before the shuffle, so a host with a third of
-all pages costs no more than its distinct tokens.  Templates are sent to all tasks only if they take at most
+all pages costs no more than its distinct tokens.  The hashes of copies and the templates are sent to all tasks only if they take at most
 ``BROADCAST`` bytes; else pages are joined to them by host.
 
 Null and empty html give an empty text; a null url is a host of its own name "".  Repeated rows each give a row.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from hashlib import md5
 from html import unescape
 
 import pandas as pd
@@ -192,19 +196,51 @@ def _place(path: str, text: str) -> int:
     return _hash("x", path, text)
 
 
-def occurrences(pages: DataFrame) -> DataFrame:
+def _distinct(pages: DataFrame) -> DataFrame:
+    """(host, twin, main, n): the rows of each html (by its hash, twin), and the hash of its article before template text is left out."""
+    schema = "host string, twin binary, main binary, n long"
+
+    def run(batches):
+        for batch in batches:
+            seen: dict[tuple[str, bytes], list] = {}
+            for host, twin, html in zip(batch.column("host").to_pylist(), batch.column("twin").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                if (host, twin) in seen:
+                    seen[host, twin][1] += 1
+                else:
+                    seen[host, twin] = [md5(article(html, frozenset(), frozenset()).encode("utf-8", "surrogatepass")).digest(), 1]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.binary()), pa.array([m for m, _ in seen.values()], pa.binary()), pa.array([n for _, n in seen.values()], pa.int64())], names=["host", "twin", "main", "n"])
+
+    return pages.select("host", "twin", "html").mapInArrow(run, schema).groupBy("host", "twin", "main").agg(F.sum("n").alias("n"))
+
+
+def occurrences(pages: DataFrame, copies: DataFrame) -> DataFrame:
     """(host, token, support, vector, place): each token's pages, the fingerprint of its occurrence vector, and its mean place.
 
-    Token 0 stands for the page itself.  ``pages`` has row (a number), host and html.
+    ``pages`` has host, twin (the hash of html) and html; ``copies`` (host, twin, stands) those that share their article with
+    other rows, and whether they stand for all of them.
     """
-    schema = "host string, token long, support long, vector long, place double"
+    schema = "host string, token long, copy binary, support long, vector long, place double"
+    pages = pages.select("host", "twin", "html")
+    size = copies.agg(F.sum(100 + F.octet_length("host"))).first()[0] or 0
+    if size <= BROADCAST:
+        shared = pages.sparkSession.sparkContext.broadcast({(h, bytes(t)): s for h, t, s in copies.toLocalIterator()})
+    else:
+        shared = None
+        pages = pages.join(copies, ["host", "twin"], "left").where("stands is null or stands")
 
     def run(batches):
         for batch in batches:
-            seen: dict[tuple[str, int], list] = {}
-            for row, host, html in zip(batch.column("row").to_pylist(), batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            seen: dict[tuple[str, int, bytes | None], list] = {}
+            done: set[tuple[str, bytes]] = set()
+            marks = batch.column("stands").to_pylist() if shared is None else None
+            for i, (host, twin, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("twin").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+                stands = shared.value.get((host, twin)) if marks is None else marks[i]
+                if stands is False or (host, twin) in done:
+                    continue
+                if stands:
+                    done.add((host, twin))
                 found, elements = blocks(html or "")
-                tokens: dict[int, list] = {0: [1, 0.0]}
+                tokens: dict[int, list] = {}
                 n = len(elements) + 1
                 for i, path in enumerate(elements):
                     t = tokens.setdefault(_hash("e", path), [0, i / n])
@@ -214,23 +250,24 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     t = tokens.setdefault(_place(path, text), [0, i / m])
                     t[0] += 1
                 for token, (count, place) in tokens.items():
-                    page = zlib.crc32(b"%d:%d" % (row, count))
-                    s = seen.setdefault((host, token), [0, 0, 0.0])
+                    page = zlib.crc32(b"%s:%d" % (twin, count))
+                    s = seen.setdefault((host, token, twin if stands else None), [0, 0, 0.0])
                     s[0] += 1
                     s[1] += page
                     s[2] += place
             keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([seen[k][i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64())))], names=["host", "token", "support", "vector", "place"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))), *(pa.array([seen[k][i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64())))], names=["host", "token", "copy", "support", "vector", "place"])
 
-    made = pages.select("row", "host", "html").mapInArrow(run, schema)
-    return made.groupBy("host", "token").agg(F.sum("support").alias("support"), F.sum("vector").alias("vector"), (F.sum("place") / F.sum("support")).alias("place"))
+    made = pages.mapInArrow(run, schema)
+    once = made.groupBy("host", "token", "copy").agg(*(F.when(F.col("copy").isNull(), F.sum(c)).otherwise(F.max(c)).alias(c) for c in ("support", "vector", "place")))
+    return once.groupBy("host", "token").agg(F.sum("support").alias("support"), F.sum("vector").alias("vector"), (F.sum("place") / F.sum("support")).alias("place"))
 
 
 def _nested(rows: pd.DataFrame) -> pd.DataFrame:
     """The template of one host from its frequent tokens: those of valid classes."""
     n = int(rows["pages"].iloc[0])
     classes = []
-    for (support, _), c in rows[rows["token"] != 0].groupby(["support", "vector"], sort=False):
+    for (support, _), c in rows.groupby(["support", "vector"], sort=False):
         if len(c) >= 2:
             classes.append((-int(support), -len(c), float(c["place"].min()), float(c["place"].max()), c["token"].tolist()))
     kept: list[tuple] = []
@@ -242,10 +279,16 @@ def _nested(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens, often): the tokens of each host's template, and those on nearly all of at least eight pages."""
-    found = occurrences(pages)
-    whole = found.where("token = 0").select("host", F.col("support").alias("pages"))
-    frequent = found.where("support >= 3").join(whole, "host").where("2 * support >= pages")
+    """(host, tokens, often): the tokens of each host's template, and those on nearly all of at least eight pages.
+
+    ``pages`` has host and html; pages with the same article count as one.
+    """
+    pages = pages.select("host", "html", F.unhex(F.md5(F.coalesce(F.col("html"), F.lit("")))).alias("twin"))
+    each = cut(_distinct(pages))
+    mains = each.groupBy("host", "main").agg(F.min("twin").alias("first"), F.sum("n").alias("n"))
+    copies = cut(each.select("host", "main", "twin").join(mains.where("n > 1"), ["host", "main"]).select("host", "twin", (F.col("twin") == F.col("first")).alias("stands")))
+    whole = mains.groupBy("host").agg(F.count("*").alias("pages"))
+    frequent = occurrences(pages, copies).where("support >= 3").join(whole, "host").where("2 * support >= pages")
     return frequent.groupBy("host").applyInPandas(_nested, "host string, tokens array<long>, often array<long>")
 
 
@@ -269,13 +312,12 @@ def extract(df: DataFrame, page: str = "page_id", url: str = "url", html: str =
     """(page, url, text) of every row."""
     spark = df.sparkSession
     bounded(spark)
-    pages = df.select(F.monotonically_increasing_id().alias("row"), host_of(F.col(url)).alias("host"), F.col(page).alias("page"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
+    pages = df.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
     made = cut(templates(pages))
     size = made.agg(F.sum(64 + 8 * (F.size("tokens") + F.size("often")))).first()[0] or 0
     schema = T.StructType([T.StructField("page", df.schema[page].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
     if size <= BROADCAST:
         shared = spark.sparkContext.broadcast({h: (frozenset(t), frozenset(o)) for h, t, o in made.toLocalIterator()})
-        pages = pages.select("host", "page", "url", "html")
     else:
         shared = None
         pages = pages.join(made, "host", "left").select("host", "page", "url", "html", "tokens", "often")

@@ -74,6 +74,21 @@ def test_text_in_an_article_stays_unless_it_is_nearly_everywhere(spark):
     assert not any("Read more" in r["text"] for r in extract(many).collect())
 
 
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_copies_of_a_page_are_no_template(spark, monkeypatch, limit):
+    """Repeated rows and copies of an article keep their text, and don't hide the template of the other pages."""
+    monkeypatch.setattr(htmltext, "BROADCAST", limit)
+    copy = f"<nav>n</nav><article><p>{prose(1, 40)}</p><p>{prose(2, 30)}</p></article>"
+    near = [(i, "http://near.example/", f"<nav>menu {i}</nav><article><p>{prose(3, 40)}</p><p>{prose(4, 30)}</p></article>") for i in range(20, 30)]
+    plain = f"<div class=content><p>{prose(5, 40)}</p><p>{prose(6, 30)}</p></div>"
+    mixed = _site(9)
+    rows = [(i, "http://copy.example/", copy) for i in range(10)] + near + [(40 + i, "http://rows.example/", plain) for i in range(3)] + [(100 + i, u, x) for i, u, x in mixed] + [(200 + i, *mixed[0][1:]) for i in range(30)]
+    got = {r["page"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    own = {i: f"{prose(i, 30)} {prose(i + 999, 40)}" for i in range(9)}
+    want = {i: f"{prose(1, 40)} {prose(2, 30)}" for i in range(10)} | {i: f"{prose(3, 40)} {prose(4, 30)}" for i in range(20, 30)} | {40 + i: f"{prose(5, 40)} {prose(6, 30)}" for i in range(3)}
+    assert got == want | {100 + i: own[i] for i in range(9)} | {200 + i: own[0] for i in range(30)}
+
+
 def test_classes_need_equal_vectors(spark):
     """Blocks on other pages of a host than each other are in other classes, and single ones no template."""
     rows = [(i, "h", "<p>every</p>" + ("<p>even</p>" if i % 2 == 0 else "") + f"<p>own {i}</p>") for i in range(8)]
