@@ -2,11 +2,13 @@
 
 Short test items are sought inside long documents.  Words are runs of letters, digits and non-ASCII characters in lower
 case; an item or document is its set of shingles of five words.  A containment threshold only turns into a usable
-Jaccard threshold if both sizes are near each other, so items are partitioned by size (up to u = 16, 32, 64 ...
-shingles) and for each partition documents are read as overlapping windows of 2u shingles, u apart: an item of the
+Jaccard threshold if both sizes are near each other, so items of 17 shingles and more are partitioned by size (up to
+u = 32, 64, 128 ... shingles) and for each partition documents are read as overlapping windows of 2u shingles, u apart: an item of the
 partition that occurs in a document lies whole in one window of at most four times its size.  Windows and items get
 ``k`` minimum hashes each; any agreement makes a candidate (with k = 64 an item that fills a quarter of its window is
-missed with a chance of 0.75^64 = 1e-8, one that is there to four fifths 0.8^64 = 6e-7).  Candidates are verified exactly:
+missed with a chance of 0.75^64 = 1e-8, one that is there to four fifths 0.8^64 = 6e-7).  Items of up to 16 shingles
+would fill too little of a window; they are looked up by shingles instead, as many of each (its rarest) as a document
+at the threshold can't all lack, so none is missed.  Candidates are verified exactly:
 the share of the item's shingles, as words, that the document has must reach the threshold.
 
 Items are the query set: they are read in blocks of a bounded number of bytes, and documents are scanned once for each block
@@ -16,6 +18,7 @@ give their rows; repeated items too.  Other columns play no part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,8 @@ from pyspark.sql import types as T
 from quillon.llm.bytesets import PUNCTUATION, U, blocks, folded, prefix, shingles, span_hash, words
 from quillon.llm.rows import bounded, read
 
-LEAST = 16
+#: Shingles of the smallest size partition; items of up to half as many are looked up by their shingles.
+LEAST = 32
 #: Bytes of item text that one scan of the documents looks for.
 ITEM_BYTES = 16 << 20
 
@@ -58,17 +62,22 @@ class Index:
         self.odd = np.random.default_rng(6).integers(0, 1 << 62, k, dtype=U) * U(2) + U(1)
         self.ids, self.grams, self.hashes = [], [], []
         parts: dict[int, list[int]] = {}
+        small: list[int] = []
         for key, text in items:
             data = folded(np.frombuffer((text or "").encode(), np.uint8))
             sh = np.unique(_shingles(np.array([0, len(data)]), data, n)[0])
             if len(sh):
-                u = LEAST
-                while u < len(sh):
-                    u *= 2
-                parts.setdefault(u, []).append(len(self.ids))
+                if 2 * len(sh) <= LEAST:
+                    small.append(len(self.ids))
+                else:
+                    u = LEAST
+                    while u < len(sh):
+                        u *= 2
+                    parts.setdefault(u, []).append(len(self.ids))
                 self.ids.append(key)
                 self.grams.append(_grams(data.tobytes(), n))
                 self.hashes.append(sh)
+        self._look_up(small)
         self.tables = {}
         for u, members in parts.items():
             values = np.stack([(self.hashes[i][:, None] * self.odd).min(axis=0) for i in members])
@@ -78,13 +87,42 @@ class Index:
             by = np.argsort(values, axis=0, kind="stable")
             self.tables[u] = (np.array(members), seen, np.take_along_axis(values, by, 0), by)
 
+    def _look_up(self, small: list[int]) -> None:
+        """Sorted keys of the small items, and whose each is."""
+        if not small:
+            self.keys = np.zeros(0, U)
+            return
+        every, often = np.unique(np.concatenate([self.hashes[i] for i in small]), return_counts=True)
+        keys, of = [], []
+        for i in small:
+            h = self.hashes[i]
+            lacking = len(h) - max(1, math.ceil(self.threshold * len(h) - 1e-9))
+            keys.append(h[np.argsort(often[np.searchsorted(every, h)], kind="stable")[: max(0, lacking) + 1]])
+            of.append(np.full(len(keys[-1]), i))
+        both, of = np.concatenate(keys), np.concatenate(of)
+        order = np.argsort(both, kind="stable")
+        self.keys, self.key_of = both[order], of[order]
+        self.shift = U(64 - min(24, max(16, int(8 * len(order)).bit_length())))
+        self.key_seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.key_seen[(self.keys >> self.shift).astype(np.int64)] = True
+
+    def _small(self, sh: np.ndarray, doc: np.ndarray) -> set[tuple[int, int]]:
+        """Pairs (text index, small item) that share a key."""
+        if not len(self.keys):
+            return set()
+        hit = np.flatnonzero(self.key_seen[(sh >> self.shift).astype(np.int64)])
+        a = np.searchsorted(self.keys, sh[hit], "left")
+        n = np.searchsorted(self.keys, sh[hit], "right") - a
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+        return set(zip(np.repeat(doc[hit], n).tolist(), self.key_of[at].tolist(), strict=True))
+
     @staticmethod
     def _bits(v: np.ndarray) -> np.ndarray:
         return ((v >> U(24)) & U(0xFFFF)).astype(np.int64)
 
     def candidates(self, sh: np.ndarray, doc: np.ndarray) -> set[tuple[int, int]]:
-        """Pairs (text index, item) that agree in a minimum hash of a window."""
-        found: set[tuple[int, int]] = set()
+        """Pairs (text index, item) that share a key, or agree in a minimum hash of a window."""
+        found = self._small(sh, doc)
         if not len(sh) or not self.tables:
             return found
         first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
@@ -123,9 +161,12 @@ class Index:
         sh, doc, _ = _shingles(off, data, self.n)
         out = []
         grams: tuple[int, set[bytes]] = (-1, set())
+        last, own = -1, sh
         for t, i in sorted(self.candidates(sh, doc)):
-            own = sh[np.searchsorted(doc, t) : np.searchsorted(doc, t, "right")]
-            if np.isin(self.hashes[i], own).mean() < self.threshold:
+            if last != t:
+                last, own = t, np.unique(sh[np.searchsorted(doc, t) : np.searchsorted(doc, t, "right")])
+            at = np.minimum(np.searchsorted(own, self.hashes[i]), len(own) - 1)
+            if (own[at] == self.hashes[i]).mean() < self.threshold:
                 continue
             if grams[0] != t:
                 grams = t, _grams(data[off[t] : off[t + 1]].tobytes(), self.n)

@@ -31,6 +31,15 @@ def test_against_all_shingles(spark):
     assert len(want) > 25
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 20])
+def test_no_short_item_is_missed(spark, n):
+    """Verbatim items of few words, each in a long text; of 20 words also with the last three cut off."""
+    items = [(i, prose(5000 + i, n)) for i in range(300)]
+    docs = [(i, f"{prose(i, 200 + i)} {t if n < 20 else ' '.join(t.split()[:17])} {prose(9000 + i, 200)}") for i, t in items]
+    got = {(r["doc"], r["item"]) for r in contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(i, i) for i in range(300)} <= got
+
+
 def test_sql_of_the_small_table(spark, same_rows):
     d = "/root/testdata/sf0.001"
     same_rows(op6_benchmark_decontamination(spark, d), OP6_SQL)
