@@ -7,9 +7,10 @@ length of every (context, byte) is a constant, and a text's code length is a sum
 position is the longest suffix of up to ``order`` bytes that is in the trees.  A text has the language of its least code
 length; ``score`` is that language's posterior under equal priors.
 
-Counts are taken over all learning rows: per task in numpy, then summed per (language, n-gram) in Spark.  ``states`` bounds
-the longest contexts kept (those with most occurrences, over all languages), ``most_grams`` the n-grams of each language
-(the commonest), and so the model that tasks receive.
+Counts are taken over all learning rows: per task in numpy, then summed per (language, n-gram) in Spark.  No n-gram or
+context is left out.  Tables are sorted and sparse, and are made in parts by the last byte of the context, so the driver holds
+about ``PART`` n-grams of one part at a time.  A model of up to ``HELD`` n-grams is broadcast; the parts of a larger one are
+files that executors get once and map into memory.
 
 Null texts and those without a letter are ``und`` with score 0; so is every text if no row can be learned from.  Rows with null
 language teach nothing.  Ties between languages go to the first in order of name.  Repeated rows each count and each
@@ -18,19 +19,26 @@ get a row.
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.bytesets import blocks
-from quillon.llm.rows import annotate, bounded, fresh, read
+from quillon.llm.rows import annotate, bounded, cut, fresh, read
 
 ORDER = 3
-#: Contexts of the highest order that are kept.
-STATES = 60_000
-#: n-grams of each language, the commonest, of which a model is made; counts are taken over all before.
-GRAMS = 1_000_000
+#: n-grams of which a part of a model is made at once.
+PART = 4_000_000
+#: n-grams of a model that is broadcast; a larger one goes to executors in files.
+HELD = 4_000_000
 
 
 def _codes(off: np.ndarray, data: np.ndarray, order: int) -> np.ndarray:
@@ -67,93 +75,134 @@ def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return made.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _tables(g: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each order from the highest to 1: sorted n-grams, their code lengths, sorted contexts, their escape's."""
+    made = []
+    for k in range(order, 0, -1):
+        gram, inv = np.unique(g & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        count = np.bincount(inv, n, len(gram))
+        ctx, inv, distinct = np.unique(gram >> 8, return_inverse=True, return_counts=True)
+        whole = np.bincount(inv, count, len(ctx)) + distinct
+        made += [gram, -np.log2(count / whole[inv]).astype(np.float32), ctx, -np.log2(distinct / whole).astype(np.float32)]
+    return made
+
+
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether there) of keys in a sorted table."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
 class Model:
     """Code lengths in bits of each byte in each context, for each language."""
 
-    def __init__(self, langs: list[str], grams: list[tuple[np.ndarray, np.ndarray]], order: int, states: int):
-        """grams: for each language the sorted numbers of its n-grams (of order + 1 bytes) and their counts."""
+    def __init__(self, langs: list[str], bytes_: np.ndarray, order: int):
+        """bytes_: (languages, 256) counts of bytes."""
         self.langs, self.order = langs, order
-        if not langs:
+        total, distinct = bytes_.sum(axis=1, keepdims=True), (bytes_ > 0).sum(axis=1, keepdims=True)
+        with np.errstate(divide="ignore"):
+            self.shortest = np.where(bytes_ > 0, -np.log2(bytes_ / (total + distinct)), 8.0 - np.log2(distinct / (total + distinct)))
+        #: The part of each last byte of a context, and each part's tables by language; in files: (name, places of the arrays).
+        self.part = np.zeros(256, np.int64)
+        self.parts: list = []
+        self._open: dict[int, list[list[np.ndarray]]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_open": {}}
+
+    def add(self, tables: list[list[np.ndarray]], file: str | None = None) -> None:
+        """Adds the tables of a part, written to ``file`` if one is given."""
+        if file is None:
+            self.parts.append(tables)
             return
-        seen = np.unique(np.concatenate([np.unique((g[:, None] >> (8 * np.arange(order + 1))) & 255) for g, _ in grams])) if langs else np.zeros(0, np.int64)
-        # Bytes that no language has seen behave alike in every context, so they share symbol 0.
-        self.symbol = np.zeros(256, np.int64)
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
-        a = self.size = len(seen) + 1
-        kept: list[np.ndarray] = [np.zeros(1, np.int64)]
-        coded = []
-        for g, n in grams:
-            s = np.zeros(len(g), np.int64)
-            for back in range(order, -1, -1):
-                s = s * a + self.symbol[(g >> (8 * back)) & 255]
-            coded.append((s, n))
-        for k in range(1, order + 1):
-            both = np.concatenate([(s // a) % a**k for s, _ in coded])
-            ctx, inv = np.unique(both, return_inverse=True)
-            if k == order and len(ctx) > states:
-                total = np.bincount(inv, np.concatenate([n for _, n in coded]))
-                ctx = np.sort(ctx[np.argsort(-total, kind="stable")[:states]])
-            kept.append(ctx)
-        self.base = np.cumsum([0] + [len(c) for c in kept])
-        rows = int(self.base[-1])
-        self.cost = np.zeros((len(langs), rows, a), np.float32)
-        for i, (s, n) in enumerate(coded):
-            shorter = np.full((1, a), 8.0, np.float32)
-            for k in range(order + 1):
-                ctx = kept[k]
-                at = np.searchsorted(ctx, (s // a) % a**k)
-                ok = (at < len(ctx)) & (ctx[np.minimum(at, len(ctx) - 1)] == (s // a) % a**k)
-                table = np.bincount(at[ok] * a + s[ok] % a, n[ok], len(ctx) * a).reshape(len(ctx), a)
-                total = table.sum(axis=1, keepdims=True)
-                distinct = (table > 0).sum(axis=1, keepdims=True)
-                under = shorter if k == 0 else shorter[np.searchsorted(kept[k - 1], ctx % a ** (k - 1))]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    own = -np.log2(table / (total + distinct))
-                    escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
-                shorter = np.where(table > 0, own, escape + under).astype(np.float32)
-                self.cost[i, self.base[k] : self.base[k + 1]] = shorter
-        # The state of every context of ``order`` symbols: its longest suffix in the trees.
-        self.state = np.zeros(a**order, np.int32)
-        for k in range(1, order + 1):
-            grid = self.state.reshape(-1, a**k)
-            grid[:, kept[k]] = self.base[k] + np.arange(len(kept[k]))
+        places, at = [], 0
+        with open(file, "wb") as f:
+            for own in tables:
+                places.append([])
+                for x in own:
+                    places[-1].append((x.dtype.str, at, len(x)))
+                    f.write(x.tobytes() + b"\0" * (-x.nbytes % 8))
+                    at += x.nbytes + -x.nbytes % 8
+        self.parts.append((os.path.basename(file), places))
+
+    def _of(self, p: int) -> list[list[np.ndarray]]:
+        part = self.parts[p]
+        if isinstance(part, list):
+            return part
+        if p not in self._open:
+            name = SparkFiles.get(part[0])
+            self._open[p] = [[np.memmap(name, d, "r", at, n) if n else np.zeros(0, d) for d, at, n in own] for own in part[1]]
+        return self._open[p]
+
+    def lengths(self, grams: np.ndarray) -> np.ndarray:
+        """(languages, n-grams) code lengths of distinct n-grams."""
+        out = np.zeros((len(self.langs), len(grams)))
+        of = self.part[(grams >> 8) & 255]
+        for p in np.unique(of):
+            here = np.flatnonzero(of == p)
+            for i, tables in enumerate(self._of(int(p))):
+                left = here
+                for k in range(self.order, 0, -1):
+                    gram, own, ctx, escape = tables[4 * (self.order - k) : 4 * (self.order - k) + 4]
+                    keys = grams[left] & ((1 << 8 * (k + 1)) - 1)
+                    at, there = _found(gram, keys)
+                    out[i, left[there]] += own[at[there]]
+                    left, keys = left[~there], keys[~there]
+                    at, there = _found(ctx, keys >> 8)
+                    out[i, left[there]] += escape[at[there]]
+                out[i, left] += self.shortest[i, grams[left] & 255]
+        return out
 
     def bits(self, off: np.ndarray, data: np.ndarray) -> np.ndarray:
         """(texts, languages) code lengths."""
-        n, a = len(off) - 1, self.size
-        out = np.zeros((n, len(self.langs)))
+        out = np.zeros((len(off) - 1, len(self.langs)))
         if not len(data):
             return out
-        sym = self.symbol[data]
-        at = np.arange(len(data)) - np.repeat(off[:-1], np.diff(off))
-        ctx = np.zeros(len(data), np.int64)
-        for back in range(self.order, 0, -1):
-            before = np.full(len(data), self.symbol[32], np.int64)
-            before[back:] = sym[: len(sym) - back]
-            before[at < back] = self.symbol[32]
-            ctx = ctx * a + before
-        cell = self.state[ctx].astype(np.int64) * a + sym
+        grams, inv = np.unique(_codes(off, data, self.order), return_inverse=True)
         full = np.flatnonzero(np.diff(off))
-        for i in range(len(self.langs)):
-            out[full, i] = np.add.reduceat(self.cost[i].reshape(-1)[cell].astype(np.float64), off[full])
+        for i, cost in enumerate(self.lengths(grams)):
+            out[full, i] = np.add.reduceat(cost[inv], off[full])
         return out
 
 
-def learn(docs: DataFrame, order: int = ORDER, states: int = STATES, most_grams: int = GRAMS) -> Model:
-    """A model of rows (lang, text); only counts of n-grams come to the driver: the commonest ``most_grams`` of each language."""
+def learn(docs: DataFrame, order: int = ORDER) -> Model:
+    """A model of rows (lang, text); only counts of n-grams come to the driver, part by part."""
     docs = docs.where("lang is not null and text is not null and text <> ''")
-    found = counts(docs, order)
-    top = found.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= most_grams)
-    table = top.select("lang", "gram", "n").toArrow()
-    lang = np.asarray(table.column("lang").to_pylist(), object)
-    gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-    langs = sorted(set(lang))
-    grams = []
-    for x in langs:
-        mine = np.flatnonzero(lang == x)
-        mine = mine[np.argsort(gram[mine])]
-        grams.append((gram[mine], n[mine]))
-    return Model(langs, grams, order, states)
+    spark = docs.sparkSession
+    found = cut(counts(docs, order)).withColumn("last", F.shiftright("gram", 8).bitwiseAND(F.lit(255)))
+    sums = found.groupBy("lang", "last", F.col("gram").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n"), F.count("*").alias("grams")).toArrow()
+    langs = sorted(pc.unique(sums.column("lang")).to_pylist())
+    code = pa.array(langs, pa.string())
+    lang, last, byte, n, many = (sums.column(c).to_numpy() if c != "lang" else pc.index_in(sums.column(c), code).to_numpy() for c in ("lang", "last", "byte", "n", "grams"))
+    table = np.zeros((len(langs), 256))
+    np.add.at(table, (lang, byte), n)
+    model = Model(langs, table, order)
+    size = np.bincount(last, many, 256)
+    folder = None
+    if size.sum() > HELD:
+        folder = tempfile.mkdtemp(prefix="quillon-language-")
+        atexit.register(shutil.rmtree, folder, True)
+    first = 0
+    while first < 256:
+        end = max(first + 1, int(np.searchsorted(np.cumsum(size[first:]), PART, "right")) + first)
+        mine = found.where(F.col("last").between(first, end - 1)).select("lang", "gram", "n")
+        tables = [_tables(np.zeros(0, np.int64), np.zeros(0, np.int64), order)] * len(langs)
+        # A part of one byte may be larger than PART: its languages come one by one.
+        for some in [mine] if size[first:end].sum() <= PART else [mine.where(F.col("lang") == x) for x in langs]:
+            got = some.toArrow()
+            of = pc.index_in(got.column("lang"), code).to_numpy()
+            gram, n = got.column("gram").to_numpy(), got.column("n").to_numpy()
+            for i in np.unique(of):
+                tables[i] = _tables(gram[of == i], n[of == i], order)
+        file = f"{folder}/{os.path.basename(folder)}-{len(model.parts)}" if folder else None
+        model.part[first:end] = len(model.parts)
+        model.add(tables, file)
+        if file:
+            spark.sparkContext.addFile(file)
+        first = end
+    return model
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, str]:

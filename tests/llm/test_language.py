@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.llm import language
 from quillon.llm.bytesets import buffers
 from quillon.llm.language import learn, op5_language_id
 from tests.llm.conftest import ODD
@@ -53,6 +54,30 @@ def test_code_lengths_are_exact(spark, order):
         assert np.allclose(got[:, i], [tree.bits(t) for t in asked], rtol=1e-5)
 
 
+@pytest.mark.parametrize("held", [1 << 30, 0])
+def test_no_context_is_dropped(spark, monkeypatch, held):
+    """More contexts than any bound of old, in a model that is broadcast or one in several files."""
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(language, "HELD", held)
+    monkeypatch.setattr(language, "PART", 50_000)
+    r = random.Random(5)
+    noise = {x: ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1000)) for _ in range(100)] for x in ("aa", "bb")}
+    docs = spark.createDataFrame([(x, t) for x, own in noise.items() for t in own], "lang string, text string")
+    model = learn(docs)
+    asked = [noise["aa"][0], noise["bb"][-1], "not seen: 漢字"]
+    found, at = language.identify(spark.createDataFrame([(t,) for t in asked], "text string"), model)
+    got = {r["text"]: r[at] for r in found.collect()}
+    trees = {x: Tree(own, 3) for x, own in noise.items()}
+    want = [[trees[x].bits(t) for x in ("aa", "bb")] for t in asked]
+    assert np.allclose(model.bits(*buffers(pa.array(asked))), want, rtol=1e-5)
+    assert len(model.parts) > 1 and isinstance(model.parts[0], list) == (held > 0)
+    assert [got[t]["lang"] for t in asked[:2]] == ["aa", "bb"]
+    assert all(math.isclose(got[t]["bits"], min(w) / len(t.encode()), rel_tol=1e-5) for t, w in zip(asked, want, strict=True))
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     rows = op5_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
