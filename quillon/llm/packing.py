@@ -19,6 +19,7 @@ task's number times 2^32 plus a count.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from collections import deque
@@ -40,23 +41,26 @@ SIZE = 1024
 class Tokens:
     """A public byte-level BPE: the vocabulary of a ``tokenizers`` file, applied by tiktoken, which gives the same ids faster.
 
-    ``ranks`` is the file with the same vocabulary as ranks; ``pattern`` the one that splits text before merging.
+    ``ranks`` is the file with the same vocabulary as ranks; ``pattern`` the one that splits text before merging; ``special`` the
+    ids of the file's added tokens, which stand for themselves wherever a text has them.
     """
 
-    def __init__(self, ranks: str, pattern: str):
+    def __init__(self, ranks: str, pattern: str, special: dict[str, int] | None = None):
         import tiktoken
 
+        special = special or {}
+
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        top = max(table.values()) + 1
+        self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=table, special_tokens=special)
+        top = max([*table.values(), *special.values()]) + 1
         self.ends = np.zeros(top, bool)
         for token, i in table.items():
             shown = token.rstrip(b" \t\r\"')]")
             self.ends[i] = shown.endswith((b".", b"!", b"?", b"\n")) or b"\n" in token
 
     def ids(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text).astype(np.uint32)
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
 
 def plan(at: np.ndarray, cost: np.ndarray, size: int = SIZE) -> list[int]:
@@ -76,15 +80,15 @@ def plan(at: np.ndarray, cost: np.ndarray, size: int = SIZE) -> list[int]:
     pos, extra = at.tolist(), cost.tolist()
     best, back = array("d", [0.0]) * n, array("q", [0]) * n
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # (best + position, position, index), values ascending
-    pop, popleft, push, get = queue.pop, queue.popleft, queue.append, where.get
+    pop, popleft, push = queue.pop, queue.popleft, queue.append
     for i in range(1, n):
         here = pos[i]
         while queue[0][1] < here - size:
             popleft()
         value, _, j = queue[0]
         value += size - here
-        if exact := get(i):
-            for k in exact:
+        if i in where:
+            for k in where[i]:
                 if best[k] < value:
                     value, j = best[k], k
         value += extra[i]
@@ -136,12 +140,11 @@ class Packer:
             return
         begin, done = np.r_[0, cuts[:-1]], int(cuts[-1])
         bound = np.unique(np.concatenate([[0], cuts, total[total <= done]]))
-        for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
-            d = int(np.searchsorted(total, a, "right")) - 1
-            q = int(np.searchsorted(begin, a, "right")) - 1
+        a, length = bound[:-1], np.diff(bound)
+        of, nth = np.searchsorted(total, a, "right") - 1, np.searchsorted(begin, a, "right") - 1
+        for d, x, n, q, at in zip(of.tolist(), (a - total[of]).tolist(), length.tolist(), nth.tolist(), (a - begin[nth]).tolist(), strict=True):
             row, start, ids, _, size = self.docs[d]
-            x = a - int(total[d])
-            yield row, start + x, b - a, zlib.crc32(ids[x : x + b - a].astype("<u4").tobytes()), size, self.next + q, a - int(begin[q])
+            yield row, start + x, n, zlib.crc32(ids[x : x + n]), size, self.next + q, at
         self.next += len(cuts)
         rest = []
         for (row, start, ids, ends, size), t in zip(self.docs, total.tolist(), strict=False):
@@ -151,7 +154,7 @@ class Packer:
         self.docs, self.held = rest, int(total[-1]) - done
 
 
-def pack(df: DataFrame, ranks: str, pattern: str, doc: str = "doc_id", text: str = "text", end_id: int = 0, size: int = SIZE, sentence_cost: float = 2.0, hard_cost: float = 4.0, sequence_cost: float = 24.0, grid: int = 24, block: int = 400_000, tokens: bool = False) -> DataFrame:
+def pack(df: DataFrame, ranks: str, pattern: str, special: dict[str, int] | None = None, doc: str = "doc_id", text: str = "text", end_id: int = 0, size: int = SIZE, sentence_cost: float = 2.0, hard_cost: float = 4.0, sequence_cost: float = 24.0, grid: int = 24, block: int = 400_000, tokens: bool = False) -> DataFrame:
     """A row for each piece: doc, start, length, ids_crc32, doc_tokens, sequence_id and offset; with ``tokens`` also its ids."""
     bounded(df.sparkSession)
     kind = df.schema[doc].dataType
@@ -164,7 +167,7 @@ def pack(df: DataFrame, ranks: str, pattern: str, doc: str = "doc_id", text: str
     def run(batches):
         from pyspark import TaskContext
 
-        made = Tokens(ranks, pattern)
+        made, end = Tokens(ranks, pattern, special), np.array(end_id, "<u4")
         task = TaskContext.get()
         packer = Packer(size, sentence_cost, hard_cost, sequence_cost, grid, block, (task.partitionId() if task else 0) << 32)
         keys: dict[int, object] = {}
@@ -190,7 +193,7 @@ def pack(df: DataFrame, ranks: str, pattern: str, doc: str = "doc_id", text: str
             for i, name in enumerate(names):
                 ids = made.ids(raw[off[i] : off[i + 1]].decode("utf-8", "replace"))
                 ends = made.ends[ids]
-                packer.add(row, np.r_[ids, np.uint32(end_id)].astype(np.uint32), np.r_[ends, False])
+                packer.add(row, np.append(ids, end), np.append(ends, False))
                 keys[row] = name
                 if tokens:
                     whole[row] = packer.docs[-1][2]
@@ -202,12 +205,19 @@ def pack(df: DataFrame, ranks: str, pattern: str, doc: str = "doc_id", text: str
     return df.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def public() -> tuple[str, str]:
-    """The rank file and pattern of the vocabulary of byte_bpe_50k.json."""
+def public(name: str = "byte_bpe_50k") -> tuple[str, str, dict[str, int]]:
+    """The rank file, pattern and added tokens of a vocabulary that is there for both libraries."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN, special
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens, as the module says.
+
+    Null and empty texts are a piece of their end mark alone; a null doc_id stays null; repeated rows are packed each; a text of any
+    length is cut over as many sequences as it needs; an empty table gives no rows; other columns aren't read.
+    """
     return pack(read(spark, sf_dir, "documents", "doc_id", "text"), *public()).withColumnRenamed("doc", "doc_id")

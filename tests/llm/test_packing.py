@@ -36,9 +36,7 @@ def reference():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check(rows, texts):
@@ -78,7 +76,7 @@ def test_real_documents(spark):
 def test_the_fast_tokenizer_gives_the_same_ids():
     t, mine = reference(), Tokens(*public())
     r = random.Random(4)
-    texts = [t_ or "" for _, t_, *_ in ODD] + ["<|endoftext|> don't  \n\n x", "".join(chr(r.choice([r.randint(32, 126), r.randint(0xA0, 0x24F), r.randint(0x4E00, 0x4E80), 0x1F600])) for _ in range(3000))]
+    texts = [t_ or "" for _, t_, *_ in ODD] + ["<|endoftext|> don't  \n\n x", "a<|endoftext|><|endoftext|>  \n<|endoftext|", "  <|endoftext|>  b", "".join(chr(r.choice([r.randint(32, 126), r.randint(0xA0, 0x24F), r.randint(0x4E00, 0x4E80), 0x1F600])) for _ in range(3000))]
     for x in texts:
         assert t.encode(x, add_special_tokens=False).ids == list(mine.ids(x))
 
