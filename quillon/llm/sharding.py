@@ -1,9 +1,9 @@
 """Sharding by sampled splitters (operator 10), in DataFrame operations only.
 
-Records get a key: high bits from the text, so equal texts are neighbours, low bits from the id, so even a
-text that holds a third of all records can be divided.
+Records get a key: high bits from the text, so equal texts are neighbours, middle bits from the id and low bits from the record's
+place in the table, so even a text, or one row repeated, that holds a third of all records can be divided.
 
-1. Keys are drawn with a chance in proportion to their record's size (by a hash, so a rerun draws the same).
+1. Keys are drawn with a chance in proportion to their record's size (by a hash of key and place, so a rerun draws the same).
 2. Splitters are quantiles of the drawn keys at text boundaries: ``ranges`` ranges of about equal bytes.
 3. Exact sizes of the ranges are summed; one that is overfull (beyond twice its share) is subdivided at drawn keys inside.
 4. Neighbouring ranges form shards: each shard ends where the bytes so far come nearest to its share (law ``bytes``).
@@ -13,8 +13,11 @@ text that holds a third of all records can be divided.
 Slots number a shard's records without gaps: a range's offset plus the record's number in its range, so no task ever sorts
 more than a range.  Only the drawn keys and the ranges' totals come to the driver, both bounded by parameters.
 
+Keys are written to the shared folder before anything is drawn, so places can't change when an executor is lost; the same files
+read in the same way give the same shards.
+
 Null text has no bytes; every record weighs ``extra`` besides its text.  Null ids are keys like others; repeated rows are
-records of their own and stay neighbours.  An empty table gives no rows.
+records of their own and stay neighbours, unless they alone make an eighth of a shard.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.rows import cut, read
 
-#: Low bits of a key that come from the id.
-LOW = 20
+#: Low bits of a key that don't come from the text; the last of them come from the record's place.
+LOW, PLACE = 24, 12
 
 
 def _below(splitters: list[int], key: Column) -> Column:
@@ -47,16 +50,17 @@ def shards(df: DataFrame, doc: str = "doc_id", text: str = "text", n: int = 24,
     """(doc, size, text_crc32, shard, slot) of every row; ``ranges`` a shard, ``draws`` keys a range."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     low = (1 << LOW) - 1
-    key = F.xxhash64(t).bitwiseAND(F.lit(~low)).bitwiseOR(F.xxhash64(F.lit(1), F.col(doc).cast("string")).bitwiseAND(F.lit(low)))
-    meta = cut(df.select(F.col(doc).alias("doc"), (F.octet_length(t) + extra).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), key.alias("key")))
+    place = F.xxhash64(F.monotonically_increasing_id())
+    by_id = F.xxhash64(F.lit(1), F.col(doc).cast("string")).bitwiseAND(F.lit(low - (1 << PLACE) + 1))
+    key = F.xxhash64(t).bitwiseAND(F.lit(~low)).bitwiseOR(by_id).bitwiseOR(place.bitwiseAND(F.lit((1 << PLACE) - 1)))
+    meta = cut(df.select(F.col(doc).alias("doc"), (F.octet_length(t) + extra).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), key.alias("key"), F.pmod(F.xxhash64(F.lit(2), key, place), F.lit(1 << 30)).cast("int").alias("coin")))
     total = meta.agg(F.sum("size")).first()[0]
     wanted = n * ranges
     if not total:
         return meta.select("doc", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     # A record of size s is drawn with chance min(1, s * wanted * draws / total).
     chance = F.col("size") * (wanted * draws / total)
-    coin = F.pmod(F.xxhash64(F.lit(2), "key"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = meta.where(coin < chance).select("key", F.greatest(F.lit(1.0), chance).alias("weight"))
+    drawn = meta.where(F.col("coin") / float(1 << 30) < chance).select("key", F.greatest(F.lit(1.0), chance).alias("weight"))
     rows = drawn.toArrow()
     keys, weight = rows.column("key").to_numpy(), rows.column("weight").to_numpy()
     order = np.argsort(keys, kind="stable")
@@ -103,5 +107,11 @@ def shards(df: DataFrame, doc: str = "doc_id", text: str = "text", n: int = 24,
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document under the law ``bytes``, as the module says.
+
+    Null and empty texts weigh 8 bytes; a null doc_id stays null; rows with one id, equal texts and repeated rows are records of
+    their own; a text of any length is one record, so a shard is off its share by it at most; an empty table gives no rows; other
+    columns aren't read.
+    """
     made = shards(read(spark, sf_dir, "documents", "doc_id", "text"))
     return made.select(F.col("doc").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -45,6 +45,21 @@ def test_a_text_with_a_third_of_all_rows(spark):
     assert len({r["shard"] for r in rows if r[0] % 3 == 0}) >= 8
 
 
+def test_one_row_that_is_a_third_of_all(spark):
+    """Rows with one id and one text part between shards, which are as near to their share as others."""
+    docs = [(7, prose(1, 40)) if i % 3 == 0 else (i, prose(i, 30)) for i in range(6000)]
+    rows = shards(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()
+    assert Counter((r[0], r["size"]) for r in rows) == Counter((i, len(t.encode()) + 8) for i, t in docs)
+    sizes, slots = Counter(), defaultdict(list)
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    share = sum(sizes.values()) / 24
+    assert set(sizes) == set(range(24)) and all(abs(x - share) <= share / 16 + 400 for x in sizes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r["shard"] for r in rows if r[0] == 7}) >= 8
+
+
 def test_odd_rows(spark, odd, none, folder):
     rows = op10_sharding(spark, folder()).collect()
     assert len(rows) == len(ODD) and shards(odd).count() == len(ODD)
