@@ -17,8 +17,9 @@ one before.  Strings are judged on the input; matches never cross documents.
 So each text is read a bounded number of times and shards are never compared in pairs: the shuffle holds about one row for 40
 bytes.  Equality of strings across shards is that of 128 bits of hashes (within a shard it is exact).
 
-Null text counts as empty.  Null ids come after all others; rows with the same id are one document, and strings at the same
-start in them are not earlier than each other.  Repeated rows each give a row.
+Null text counts as empty.  Ids only order rows; what goes is kept by row, told apart by id and 64 bits of the text's hash.  Null
+ids come after all others.  In rows with the same id (or none) strings are ordered by their start alone, and those at the same start are
+not earlier than each other.  Repeated rows each give a row.
 """
 
 from __future__ import annotations
@@ -143,7 +144,7 @@ def search(ids: np.ndarray, off: np.ndarray, data: np.ndarray, least: int = LEAS
 def _lookup(state: list[np.ndarray], group: np.ndarray, doc: np.ndarray, first: np.ndarray, off: np.ndarray, data: np.ndarray, least: int) -> np.ndarray:
     """Merges strings of sorted stretches: which windows of the given contexts occur in an earlier one.
 
-    Contexts come by (group, doc, first); ``state`` keeps the last group and its sorted strings for what follows.
+    Contexts come by (group, doc, first); ``state`` keeps the last group, its sorted strings and where each is first for what follows.
     """
     sums = prefix(data)
     size = np.diff(off) - least + 1
@@ -152,24 +153,27 @@ def _lookup(state: list[np.ndarray], group: np.ndarray, doc: np.ndarray, first:
     start = off[row] + nth
     w = span_hash(sums, start, start + least)
     w ^= mix(group[row].astype(np.int64).view(U))
-    order = np.lexsort((first[row] + nth, doc[row], w))
-    same = np.r_[False, w[order][1:] == w[order][:-1]]
-    # Equal strings at the same start of the same document (rows with one id) are not earlier than each other.
-    pd_, ps = doc[row][order], (first[row] + nth)[order]
-    run = np.cumsum(~same) - 1
-    head = np.flatnonzero(~same)
-    late = same & ((pd_ != pd_[head][run]) | (ps != ps[head][run]))
+    d, s = doc[row], first[row] + nth
+    order = np.lexsort((s, d, w))
+    new = np.r_[True, w[order][1:] != w[order][:-1]] if len(order) else np.zeros(0, bool)
+    head = order[new]  # the earliest of each string
+    run = np.cumsum(new) - 1
+    # Equal strings at the same start under the same id are not earlier than each other.
     seen = np.zeros(len(row), bool)
-    seen[order[late]] = True
+    seen[order] = (d[order] != d[head][run]) | (s[order] != s[head][run])
     if state and len(group) and state[0][0] == group[0]:
         mine = np.flatnonzero(group[row] == group[0])
-        at = np.searchsorted(state[1], w[mine])
-        seen[mine] |= state[1][np.minimum(at, len(state[1]) - 1)] == w[mine]
+        at = np.minimum(np.searchsorted(state[1], w[mine]), len(state[1]) - 1)
+        seen[mine] |= (state[1][at] == w[mine]) & ((state[2][at] != d[mine]) | (state[3][at] != s[mine]))
     if len(group):
-        tail = np.unique(w[group[row] == group[-1]])
+        tail = head[group[row[head]] == group[-1]]
+        kept = [w[tail], d[tail], s[tail]]
         if state and state[0][0] == group[-1]:
-            tail = np.union1d(tail, state[1])
-        state[:] = [group[-1:], tail]
+            fresh = tail[~np.isin(w[tail], state[1])]
+            kept = [np.r_[x, y[fresh]] for x, y in zip(state[1:], (w, d, s), strict=True)]
+            order = np.argsort(kept[0], kind="stable")
+            kept = [x[order] for x in kept]
+        state[:] = [group[-1:], *kept]
     return seen
 
 
@@ -178,7 +182,7 @@ def _ordered(ids: Column) -> Column:
 
 
 def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, shard_bytes: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """(docs, spans): docs has (id, key, text, whole), spans (key, spans: sorted array of from, to) of what goes.
+    """(docs, spans): docs has (id, key, row, text, whole), spans (key, row, spans: sorted array of from, to) of what goes.
 
     ``whole`` marks copies of texts that are kept elsewhere; they have no spans.
     """
@@ -186,27 +190,28 @@ def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
     bounded(spark)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     docs = df.select(F.col(doc).alias("id"), _ordered(F.col(doc)).alias("key"), t.alias("text"), F.unhex(F.md5(t)).alias("twin"))
+    docs = docs.withColumn("row", F.xxhash64("twin"))
     twins = docs.where(F.octet_length("text") >= least).groupBy("twin").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("twin", "first")
     twins = cut(twins)
     few = twins.count() <= BROADCAST_ROWS
-    docs = docs.join(F.broadcast(twins) if few else twins, "twin", "left").select("id", "key", "text", F.coalesce(F.col("key") > F.col("first"), F.lit(False)).alias("whole"))
-    names = ["anchor", "content", "key", "a", "b"]
+    docs = docs.join(F.broadcast(twins) if few else twins, "twin", "left").select("id", "key", "row", "text", F.coalesce(F.col("key") > F.col("first"), F.lit(False)).alias("whole"))
+    names = ["anchor", "content", "key", "row", "a", "b"]
 
     def shard(batches):
         for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            keys, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "row"))
             for i, off, data, base in segments(*buffers(batch.column("text")), least, shard_bytes):
-                ids = keys[i : i + len(off) - 1]
+                ids, own = keys[i : i + len(off) - 1], marks[i : i + len(off) - 1]
                 removed, rows = search(ids, off, data, least)
                 removed[:, 1:] += base
                 rows[:, 3] += base
-                gone = [np.full(len(removed), 0, np.int64), np.full(len(removed), 0, np.int64), ids[removed[:, 0]], removed[:, 1], -removed[:, 2]]
+                gone = [np.full(len(removed), 0, np.int64), np.full(len(removed), 0, np.int64), ids[removed[:, 0]], own[removed[:, 0]], removed[:, 1], -removed[:, 2]]
                 # Removed spans ride along, spread by their document, and are told apart by b < 0.
-                gone[0] = mix(gone[2].astype(np.int64).view(U) + removed[:, 1].astype(U)).view(np.int64)
-                made = [rows[:, 0], rows[:, 1], ids[rows[:, 2]], rows[:, 3], rows[:, 4]]
+                gone[0] = mix(gone[3].astype(np.int64).view(U) + removed[:, 1].astype(U)).view(np.int64)
+                made = [rows[:, 0], rows[:, 1], ids[rows[:, 2]], own[rows[:, 2]], rows[:, 3], rows[:, 4]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y]).astype(np.int64)) for x, y in zip(gone, made, strict=True)], names=names)
 
-    found = docs.where("not whole").where(F.octet_length("text") >= least).select("key", "text").mapInArrow(shard, "anchor long, content long, key long, a long, b long")
+    found = docs.where("not whole").where(F.octet_length("text") >= least).select("key", "row", "text").mapInArrow(shard, "anchor long, content long, key long, row long, a long, b long")
     by = Window.partitionBy("anchor").orderBy("content", "key", "a")
     everywhere = Window.partitionBy("anchor").orderBy("content", "key", "a").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     one = F.col("b") > 0
@@ -218,16 +223,16 @@ def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
     twin = F.coalesce(F.col("before.one") & (F.col("before.content") == F.col("content")), F.lit(False))
     # The same start of the same document (rows with one id) is not earlier.
     late = twin & ~((F.col("before.key") == F.col("key")) & (F.col("before.a") == F.col("a")))
-    judged = judged.select("anchor", "key", "a", "b", F.when(~one | late, F.lit(0)).when(F.col("low") < F.col("high"), F.lit(1)).alias("kind")).where("kind is not null")
+    judged = judged.select("anchor", "key", "row", "a", "b", F.when(~one | late, F.lit(0)).when(F.col("low") < F.col("high"), F.lit(1)).alias("kind")).where("kind is not null")
     judged = cut(judged)
-    spans = judged.where("kind = 0").select("key", "a", F.when(F.col("b") < 0, -F.col("b")).otherwise(F.col("a") + F.col("b") + (least - 1)).alias("b"))
-    wanted = judged.where("kind = 1").groupBy("key").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("stretches"))
+    spans = judged.where("kind = 0").select("key", "row", "a", F.when(F.col("b") < 0, -F.col("b")).otherwise(F.col("a") + F.col("b") + (least - 1)).alias("b"))
+    wanted = judged.where("kind = 1").groupBy("key", "row").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("stretches"))
 
     def contexts(batches):
         for batch in batches:
             lists = batch.column("stretches")
             off, data = buffers(batch.column("text"))
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            keys, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "row"))
             lo = np.asarray(lists.offsets)
             flat = lists.values
             anchor, a, b = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -235,13 +240,13 @@ def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
             anchor, a, b = anchor[lo[0] : lo[-1]], a[lo[0] : lo[-1]], b[lo[0] : lo[-1]]
             s = off[which] + a
             raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(keys[which]), pa.array(a), pa.array([raw[x : x + y + least - 1] for x, y in zip(s.tolist(), b.tolist(), strict=True)], pa.binary())], names=["anchor", "key", "a", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(keys[which]), pa.array(marks[which]), pa.array(a), pa.array([raw[x : x + y + least - 1] for x, y in zip(s.tolist(), b.tolist(), strict=True)], pa.binary())], names=["anchor", "key", "row", "a", "context"])
 
     def merge(batches):
         state: list[np.ndarray] = []
         for batch in batches:
             for part, off, data in blocks(batch, "context", SHARD):
-                anchor, key, a = (part.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "key", "a"))
+                anchor, key, mark, a = (part.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "key", "row", "a"))
                 seen = _lookup(state, anchor, key, a, off, data, least)
                 size = np.diff(off) - least + 1
                 row = np.repeat(np.arange(len(size)), size)[seen]
@@ -250,11 +255,11 @@ def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
                 new = np.r_[True, (row[1:] != row[:-1]) | (nth[1:] != nth[:-1] + 1)] if len(row) else np.zeros(0, bool)
                 at = np.flatnonzero(new)
                 stop = np.r_[at[1:] - 1, len(row) - 1] if len(at) else at
-                yield pa.RecordBatch.from_arrays([pa.array(key[row[at]]), pa.array(a[row[at]] + nth[at]), pa.array(a[row[stop]] + nth[stop] + least)], names=["key", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[row[at]]), pa.array(mark[row[at]]), pa.array(a[row[at]] + nth[at]), pa.array(a[row[stop]] + nth[stop] + least)], names=["key", "row", "a", "b"])
 
-    places = docs.where("not whole").select("key", "text").join(wanted, "key").mapInArrow(contexts, "anchor long, key long, a long, context binary")
-    merged = places.repartition("anchor").sortWithinPartitions("anchor", "key", "a").mapInArrow(merge, "key long, a long, b long")
-    spans = spans.unionByName(merged).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    places = docs.where("not whole").select("key", "row", "text").join(wanted, ["key", "row"]).mapInArrow(contexts, "anchor long, key long, row long, a long, context binary")
+    merged = places.repartition("anchor").sortWithinPartitions("anchor", "key", "a").mapInArrow(merge, "key long, row long, a long, b long")
+    spans = spans.unionByName(merged).groupBy("key", "row").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
     return docs, cut(spans)
 
 
@@ -294,10 +299,16 @@ def deduplicate(df: DataFrame, doc: str = "doc_id", text: str = "text", least: i
                 kept.append(left)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(kept, pa.binary())], names=["id", "n_bytes", "runs", "kept"])
 
-    return docs.join(spans, "key", "left").select("id", "text", "whole", "spans").mapInArrow(run, f"id {kind.simpleString()}, n_bytes long, runs array<struct<a:long,b:long>>, kept binary")
+    return docs.join(spans, ["key", "row"], "left").select("id", "text", "whole", "spans").mapInArrow(run, f"id {kind.simpleString()}, n_bytes long, runs array<struct<a:long,b:long>>, kept binary")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document when repeated strings of 100 bytes are removed, as the module says.
+
+    Null and empty texts, and those under 100 bytes, lose nothing; a null doc_id stays null and comes after all others; rows with
+    one id are rows of their own; texts longer than a shard are searched in overlapping parts; an empty table gives no rows; other
+    columns aren't read.
+    """
     made = deduplicate(read(spark, sf_dir, "documents", "doc_id", "text"))
     removed = F.col("n_bytes") - F.octet_length("kept")
     return made.select(F.col("id").alias("doc_id"), "n_bytes", removed.cast("long").alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -48,6 +48,51 @@ def test_any_sharding_gives_the_same(spark, shard_bytes):
     assert run(df, shard_bytes=shard_bytes) == brute(docs)
 
 
+def brute_rows(docs, least=100):
+    """For each row (bytes, removed, hash of what is left): a string goes if it also is in a row of a smaller id, or earlier under the same id."""
+    rank = lambda i: 1 << 62 if i is None else i
+    first = {}
+    for i, t in docs:
+        b = (t or "").encode()
+        for p in range(len(b) - least + 1):
+            w, at = b[p : p + least], (rank(i), p)
+            first[w] = min(first.get(w, at), at)
+    out = collections.Counter()
+    for i, t in docs:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - least + 1):
+            if first[b[p : p + least]] < (rank(i), p):
+                gone[p : p + least] = b"\x01" * least
+        out[i, len(b), sum(gone), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("shard_bytes", [700, 3_000, 1_500_000])
+def test_null_and_shared_ids_lose_only_what_is_repeated(spark, shard_bytes):
+    x, y, z, v = (prose(i, 70) for i in (301, 302, 303, 304))
+    docs = [(0, x), (None, x + y), (None, z), (None, z), (None, y + v), (None, None), (1, x + v), (1, z + "!"), (1, "! " + z), (1, x + v), (2, v), (2, y + x), (None, "q" * 150), (5, prose(305, 30) + x + z), (5, prose(306, 40) + z + x)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    made = deduplicate(df, shard_bytes=shard_bytes).select("id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.sha2("kept", 256))
+    assert collections.Counter(tuple(r) for r in made.collect()) == brute_rows(docs)
+
+
+def test_lookup_over_blocks_is_that_over_one():
+    """Stretches of one anchor that come in several blocks, with equal starts under one id."""
+    import numpy as np
+
+    from quillon.llm.substrings import _lookup
+
+    texts = [prose(400 + i % 3, 40).encode() for i in range(6)]
+    doc, first = np.array([1, 1, 1, 2, 2, 3]), np.array([0, 0, 5, 0, 0, 7])
+    group = np.full(6, 9)
+    whole = _lookup([], group, doc, first, np.cumsum([0] + [len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8), 100)
+    state, parts = [], []
+    for i in range(6):
+        parts.append(_lookup(state, group[i : i + 1], doc[i : i + 1], first[i : i + 1], np.array([0, len(texts[i])]), np.frombuffer(texts[i], np.uint8), 100))
+    assert (np.concatenate(parts) == whole).all() and whole.any() and not whole.all()
+
+
 def test_odd_rows(spark, odd, none, folder):
     rows = op2_suffix_array_dedup(spark, folder()).collect()
     assert len(rows) == len(ODD)
