@@ -13,10 +13,13 @@ classes are the connected components of pairs at ``threshold`` or above:
 2. in each bucket every member is compared with one leader only;
 3. after components of these links, only members of different components that share a bucket are compared: each with each in
    buckets of up to ``FAN`` such members; in larger ones only pairs that also share one of their rarest shingles, as
-   any pair at the threshold must (prefix filter: of n shingles at least one of the n - ceil(threshold n) + 1 rarest).
+   any pair at the threshold must.  How many of the rarest is set by both sizes (in bands of ``STEP``): sets of n and m shingles at
+   threshold t share at least o = t (n + m) / (1 + t), and so one of the n - o + 1 rarest of the one and of the m - o + 1 rarest of
+   the other.
 
-So every candidate pair is verified, known to be of one class or known to be below the threshold; no link between classes is lost,
-and a passage that fills the buckets of many texts doesn't make pairs of them all.
+So every candidate pair is verified, known to be of one class or known to be below the threshold; no link between classes is lost.
+A passage that fills the buckets of many texts makes no pairs of them: its shingles are among the rarest of two texts only where
+the passage alone makes the two (nearly, by one band) alike enough.  Each text then gives some hundred rows and no pair.
 
 Null text counts as empty.  Equal texts share a class even without words; otherwise a text without words is like none.
 Texts of one to four words have one shingle, all their words.  Rows with a null id belong to the class of their text,
@@ -42,6 +45,8 @@ _MASK = (1 << 64) - 1
 BROADCAST_ROWS = 200_000
 #: Members of different components up to which all of a bucket are compared.
 FAN = 32
+#: The ratio of sizes that is one band; a text of n shingles is compared with bands up to n / threshold.
+STEP = 1.03
 
 
 def cells(sh: np.ndarray, doc: np.ndarray, weights: str = "set") -> np.ndarray:
@@ -141,13 +146,34 @@ def _across(members: DataFrame) -> DataFrame:
     return left.join(right, "at").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _rarest(sets: DataFrame, threshold: float) -> DataFrame:
-    """(at, node, component): the rarest shingles of each set, of which two sets at the threshold share one; shingles of one set are left out."""
-    each = sets.select("node", "component", F.size("x").alias("n"), F.explode("x").alias("at"))
+def _rare_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of sets (node, component, x) of different components that share one of as many of their rarest shingles as any pair at the threshold must.
+
+    Sizes are in bands; a set gives its rarest shingles for each band of partners, as many as the least size of the band asks for.
+    Shingles of one set alone count as rare and are left out of the join.
+    """
+    low = lambda band: F.ceil(F.lit(STEP) ** band - 1e-9)
+    size = F.size("x")
+    each = sets.select("node", "component", size.alias("n"), F.floor(F.log(size.cast("double")) / math.log(STEP) + 1e-9).cast("int").alias("band"), F.explode("x").alias("at"))
     common = each.groupBy("at").agg(F.count("*").alias("f"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("f", "at"))
-    ranked = each.join(common, "at").withColumn("rank", rank)
-    return ranked.where((F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1) & (F.col("f") > 1)).select("at", "node", "component")
+    ranked = each.join(common, "at").withColumn("rank", rank).where((F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1) & (F.col("f") > 1))
+    reach = math.ceil(math.log(1 / threshold) / math.log(STEP)) + 1
+
+    def side(bands, name: str) -> DataFrame:
+        """A set's rarest shingles for partners of each band."""
+        spread = ranked.withColumn("other", F.explode(bands))
+        least = F.greatest(F.ceil(threshold / (1 + threshold) * (F.col("n") + low(F.col("other"))) - 1e-6), F.lit(1))
+        kept = spread.where(F.col("rank") <= F.col("n") - least + 1)
+        smaller, larger = ("band", "other") if name == "a" else ("other", "band")
+        return kept.select("at", F.col(smaller).alias("s"), F.col(larger).alias("l"), F.col("node").alias(name), F.col("component").alias(f"c{name}"), F.col("n").alias(f"n{name}"))
+
+    # a is of the smaller band, or of the same one.
+    left = side(F.sequence("band", F.col("band") + reach), "a")
+    right = side(F.sequence(F.greatest(F.col("band") - reach, F.lit(0)), "band"), "b")
+    pairs = left.join(right, ["at", "s", "l"]).where((F.col("ca") != F.col("cb")) & ((F.col("s") < F.col("l")) | (F.col("a") < F.col("b"))))
+    pairs = pairs.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.8, n_words: int = 5, k: int = 96, rows: int = 4, weights: str = "set") -> DataFrame:
@@ -185,7 +211,7 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", thre
     crowd = open_.join(sizes.where(F.col("members") > FAN).select("bucket"), "bucket").select("node", "component").distinct()
     across = _across(few)
     if not crowd.isEmpty():
-        across = across.unionByName(_across(_rarest(sets.join(crowd, "node"), threshold)))
+        across = across.unionByName(_rare_pairs(sets.join(crowd, "node"), threshold))
     across = across.distinct().join(star, ["a", "b"], "left_anti")
     more = cut(alike(across))
     if not more.isEmpty():
@@ -198,4 +224,10 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", thre
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document, as the module says.
+
+    Null texts count as empty, and equal texts without words are one class; a null doc_id has the class of its text, or none;
+    rows with one id and repeated rows each give a row; whole texts count, whatever their length; an empty table gives no rows; other
+    columns aren't read.
+    """
     return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).select(F.col("id").alias("doc_id"), "class_id", (F.col("node") != F.col("id")).alias("is_copy"), (F.col("class_id") != F.col("id")).alias("is_duplicate"))

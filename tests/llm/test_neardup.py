@@ -1,8 +1,10 @@
 import collections
+import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm.components import components
 from quillon.llm.neardup import cells, near_duplicates, op4_minhash_near_dedup, signatures
@@ -116,6 +118,49 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 10: 7} | {100 + i: 100 for i in range(41)}
 
 
+def _core(n, common, own, seed):
+    """Texts that share a passage of ``common`` shingles and have ``own`` more each."""
+    passage = prose(seed, common + 4)
+    return {i: passage + " " + " ".join(f"w{seed}x{i}x{j}" for j in range(own)) for i in range(n)}
+
+
+def _rare(spark, texts):
+    from quillon.llm.neardup import _rare_pairs, _sets
+    from quillon.llm.rows import annotate
+
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    sets = annotate(df, "text", _sets(5, "set"), "x array<long>", ["id"], "s").select(F.col("id").alias("node"), F.col("id").alias("component"), F.col("s.x").alias("x"))
+    return _rare_pairs(sets, 0.8)
+
+
+def test_a_shared_passage_makes_no_pairs(spark):
+    """Two thousand texts with a similarity of 0.74 to each other; a few have a copy with one word changed."""
+    texts = _core(2000, 85, 15, 77)
+    for i in range(0, 2000, 100):
+        texts[5000 + i] = texts[i].replace(f"w77x{i}x7", "new")
+    assert _rare(spark, texts).distinct().count() <= 2 * 20
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["id"]: r["class_id"] for r in near_duplicates(df).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i in texts}
+
+
+def test_pairs_of_rare_shingles_lose_none(spark):
+    """Sets of many sizes with shared parts: every pair at the threshold is there."""
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(400)]
+    texts = {}
+    for i in range(160):
+        a = r.randint(0, 40)
+        w = base[a : a + r.randint(20, 260)]
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"x{i}"
+        texts[i] = " ".join(w)
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in texts.items()}
+    want = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = {(p["a"], p["b"]) for p in _rare(spark, texts).collect()}
+    assert len(want) > 300 and want <= got and len(got) < 160 * 159 / 2
+
+
 def test_crowded_buckets(spark, monkeypatch):
     """Texts that share a long passage fill each other's buckets; a few are alike in the rest, too."""
     from quillon.llm import neardup
