@@ -12,7 +12,8 @@ at the threshold can't all lack, so none is missed.  Candidates are verified exa
 the share of the item's shingles, as words, that the document has must reach the threshold.
 
 Items are the query set: they are read in blocks of a bounded number of bytes, and documents are scanned once for each block
-without a shuffle.  Null and empty texts, and items of fewer than five words, match nothing.  Repeated documents each
+without a shuffle.  A block's index is broadcast; it has the items' texts, eight bytes a shingle and ``k`` hashes an item, by
+measurement under ``EXPANDED`` times the bytes of text, besides bit tables of some megabytes.  Null and empty texts, and items of fewer than five words, match nothing.  Repeated documents each
 give their rows; repeated items too.  Other columns play no part.
 """
 
@@ -34,6 +35,10 @@ from quillon.llm.rows import bounded, read
 LEAST = 32
 #: Bytes of item text that one scan of the documents looks for.
 ITEM_BYTES = 16 << 20
+#: What an index takes at most for each byte that ITEM_BYTES counts.
+EXPANDED = 12
+#: Items whose shingles a task keeps as words from one verification to the next.
+KEPT = 1000
 
 
 def _shingles(off: np.ndarray, data: np.ndarray, n: int):
@@ -60,7 +65,8 @@ class Index:
     def __init__(self, items: list[tuple[object, str | None]], n: int, k: int, threshold: float):
         self.n, self.k, self.threshold = n, k, threshold
         self.odd = np.random.default_rng(6).integers(0, 1 << 62, k, dtype=U) * U(2) + U(1)
-        self.ids, self.grams, self.hashes = [], [], []
+        self.ids, self.texts, self.hashes = [], [], []
+        self._words: dict[int, set[bytes]] = {}
         parts: dict[int, list[int]] = {}
         small: list[int] = []
         for key, text in items:
@@ -75,7 +81,7 @@ class Index:
                         u *= 2
                     parts.setdefault(u, []).append(len(self.ids))
                 self.ids.append(key)
-                self.grams.append(_grams(data.tobytes(), n))
+                self.texts.append(data.tobytes())
                 self.hashes.append(sh)
         self._look_up(small)
         self.tables = {}
@@ -87,6 +93,14 @@ class Index:
             by = np.argsort(values, axis=0, kind="stable")
             self.tables[u] = (np.array(members), seen, np.take_along_axis(values, by, 0), by)
 
+    def grams(self, i: int) -> set[bytes]:
+        """The shingles of an item as words."""
+        if i not in self._words:
+            if len(self._words) >= KEPT:
+                self._words.clear()
+            self._words[i] = _grams(self.texts[i], self.n)
+        return self._words[i]
+
     def _look_up(self, small: list[int]) -> None:
         """Sorted keys of the small items, and whose each is."""
         if not small:
@@ -170,7 +184,8 @@ class Index:
                 continue
             if grams[0] != t:
                 grams = t, _grams(data[off[t] : off[t + 1]].tobytes(), self.n)
-            share = len(self.grams[i] & grams[1]) / len(self.grams[i])
+            item = self.grams(i)
+            share = len(item & grams[1]) / len(item)
             if share >= self.threshold:
                 out.append((t, i, share))
         return out
@@ -195,9 +210,10 @@ def contained(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
 
     narrow, found = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")), None
     for block in _item_blocks(items, item, item_text):
-        index = Index(block, n, k, threshold)
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block, n, k, threshold))
 
-        def run(batches, index=index):
+        def run(batches, shared=shared):
+            index = shared.value
             for batch in batches:
                 for part, off, data in blocks(batch, "text"):
                     hits = index.search(off, data)
@@ -210,6 +226,11 @@ def contained(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document contains, as the module says.
+
+    Null and empty texts, and items of under five words, match nothing; null ids stay null; rows with one id and repeated rows
+    each give their rows; whole texts are searched, whatever their length; empty tables give no rows; other columns aren't read.
+    """
     made = contained(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
     return made.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.round("containment", 6).alias("containment"))
 

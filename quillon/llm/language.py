@@ -9,8 +9,8 @@ length; ``score`` is that language's posterior under equal priors.
 
 Counts are taken over all learning rows: per task in numpy, then summed per (language, n-gram) in Spark.  No n-gram or
 context is left out.  Tables are sorted and sparse, and are made in parts by the last byte of the context, so the driver holds
-about ``PART`` n-grams of one part at a time.  A model of up to ``HELD`` n-grams is broadcast; the parts of a larger one are
-files that executors get once and map into memory.
+about ``PART`` n-grams of one part at a time.  A model of up to ``HELD`` n-grams is broadcast (under ``EACH`` bytes each, whatever the number
+of languages); the parts of a larger one are files in the shared folder, which executors get once and map into memory.
 
 Null texts and those without a letter are ``und`` with score 0; so is every text if no row can be learned from.  Rows with null
 language teach nothing.  Ties between languages go to the first in order of name.  Repeated rows each count and each
@@ -19,10 +19,8 @@ get a row.
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.bytesets import blocks
-from quillon.llm.rows import annotate, bounded, cut, fresh, read
+from quillon.llm.rows import annotate, bounded, cut, folder, fresh, put, read
 
 ORDER = 3
 #: n-grams of which a part of a model is made at once.
 PART = 4_000_000
 #: n-grams of a model that is broadcast; a larger one goes to executors in files.
 HELD = 4_000_000
+#: Bytes of a model for each n-gram at most: a number and a code length for it, and those of its context and of shorter ones.
+EACH = 60
 
 
 def _codes(off: np.ndarray, data: np.ndarray, order: int) -> np.ndarray:
@@ -112,20 +112,18 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
-    def add(self, tables: list[list[np.ndarray]], file: str | None = None) -> None:
-        """Adds the tables of a part, written to ``file`` if one is given."""
-        if file is None:
+    def add(self, tables: list[list[np.ndarray]], write: Callable[[Iterable[bytes]], str] | None = None) -> None:
+        """Adds the tables of a part; ``write`` stores its bytes as a file and gives the file's name, else the part is held."""
+        if write is None:
             self.parts.append(tables)
             return
         places, at = [], 0
-        with open(file, "wb") as f:
-            for own in tables:
-                places.append([])
-                for x in own:
-                    places[-1].append((x.dtype.str, at, len(x)))
-                    f.write(x.tobytes() + b"\0" * (-x.nbytes % 8))
-                    at += x.nbytes + -x.nbytes % 8
-        self.parts.append((os.path.basename(file), places))
+        for own in tables:
+            places.append([])
+            for x in own:
+                places[-1].append((x.dtype.str, at, len(x)))
+                at += x.nbytes + -x.nbytes % 8
+        self.parts.append((write(x.tobytes() + b"\0" * (-x.nbytes % 8) for own in tables for x in own), places))
 
     def _of(self, p: int) -> list[list[np.ndarray]]:
         part = self.parts[p]
@@ -180,10 +178,14 @@ def learn(docs: DataFrame, order: int = ORDER) -> Model:
     np.add.at(table, (lang, byte), n)
     model = Model(langs, table, order)
     size = np.bincount(last, many, 256)
-    folder = None
-    if size.sum() > HELD:
-        folder = tempfile.mkdtemp(prefix="quillon-language-")
-        atexit.register(shutil.rmtree, folder, True)
+    at = folder(spark, "language") if size.sum() > HELD else None
+
+    def write(pieces: Iterable[bytes]) -> str:
+        file = f"{at}/{os.path.basename(at)}-{len(model.parts)}"
+        put(spark.sparkContext, file, pieces)
+        spark.sparkContext.addFile(file)
+        return os.path.basename(file)
+
     first = 0
     while first < 256:
         end = max(first + 1, int(np.searchsorted(np.cumsum(size[first:]), PART, "right")) + first)
@@ -196,11 +198,8 @@ def learn(docs: DataFrame, order: int = ORDER) -> Model:
             gram, n = got.column("gram").to_numpy(), got.column("n").to_numpy()
             for i in np.unique(of):
                 tables[i] = _tables(gram[of == i], n[of == i], order)
-        file = f"{folder}/{os.path.basename(folder)}-{len(model.parts)}" if folder else None
         model.part[first:end] = len(model.parts)
-        model.add(tables, file)
-        if file:
-            spark.sparkContext.addFile(file)
+        model.add(tables, write if at else None)
         first = end
     return model
 
@@ -234,6 +233,12 @@ def has_letter(text: Column) -> Column:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, as the module says.
+
+    Null and empty texts, and those without a letter, are ``und`` with score 0; rows with null lang teach nothing; a null doc_id
+    is not held out; rows with one id and repeated rows each give a row; whole texts count, whatever their length; an empty table
+    gives no rows; other columns aren't read.
+    """
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = learn(docs.where(~held_out).select("lang", "text"))

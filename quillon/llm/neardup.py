@@ -231,3 +231,18 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns aren't read.
     """
     return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).select(F.col("id").alias("doc_id"), "class_id", (F.col("node") != F.col("id")).alias("is_copy"), (F.col("class_id") != F.col("id")).alias("is_duplicate"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS id FROM documents GROUP BY 1),
+w AS (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t WHERE id IS NOT NULL),
+g AS MATERIALIZED (SELECT DISTINCT id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT id, count(*) AS n FROM g GROUP BY id),
+p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.g = b.g AND a.id < b.id JOIN n x ON x.id = a.id JOIN n y ON y.id = b.id WHERE least(x.n, y.n) >= 0.8 * greatest(x.n, y.n)
+  GROUP BY a.id, b.id HAVING count(*) >= 0.8 * (any_value(x.n) + any_value(y.n) - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT a AS id, a AS c FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.c = e.a),
+c AS (SELECT id, min(c) AS class_id FROM r GROUP BY id)
+SELECT doc_id, coalesce(c.class_id, t.id) AS class_id, t.id <> doc_id AS is_copy, coalesce(c.class_id, t.id) <> doc_id AS is_duplicate
+FROM documents d JOIN t ON coalesce(d.text, '') = t.text LEFT JOIN c ON c.id = t.id
+"""

@@ -83,6 +83,30 @@ def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, min_
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and verdict of every document, as the module says.
+
+    Null and empty texts have no words and fail; a null doc_id stays null; rows with one id and repeated rows are judged each; whole
+    texts count, whatever their length; an empty table gives no rows; other columns aren't read.
+    """
     made, q = judge(read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered", "covered", "longest_repeat"]
     return made.select("doc_id", *(F.col(f"{q}.{c}").alias(c) for c in names))
+
+
+#: Runs of five words or more that occur elsewhere in the text cover the words of five-word windows found twice or more; the longest is
+#: the longest run of equal windows at a fixed distance.
+OP8_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT k, len(w) AS n, i, CASE WHEN i + 4 <= len(w) THEN array_to_string(w[i:i + 4], ' ') END AS g5, CASE WHEN i + 7 <= len(w) THEN array_to_string(w[i:i + 7], ' ') END AS g8 FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+m AS (SELECT k, n, i, g5 IS NOT NULL AND count(*) OVER (PARTITION BY k, g5) > 1 AS r5, g8 IS NOT NULL AND count(*) OVER (PARTITION BY k, g8) > 1 AS r8 FROM g),
+c AS (SELECT k, i, coalesce(bool_or(r5) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), false) AS c5, coalesce(bool_or(r8) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), false) AS c8 FROM m),
+s AS (SELECT k, count(*) FILTER (c8) AS n_repeat_words, count(*) FILTER (c5) AS n_covered FROM c GROUP BY k),
+q AS (SELECT a.k, b.i - a.i AS far, a.i - row_number() OVER (PARTITION BY a.k, b.i - a.i ORDER BY a.i) AS run FROM g a JOIN g b ON a.k = b.k AND a.g5 = b.g5 AND a.i < b.i),
+l AS (SELECT k, max(size) + 4 AS longest_repeat FROM (SELECT k, count(*) AS size FROM q GROUP BY k, far, run) GROUP BY k),
+y AS (SELECT k, sum(n - 1) AS n_dup_lines FROM (SELECT k, line, count(*) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k, line) GROUP BY k),
+x AS (SELECT k, doc_id, len(w)::bigint AS n_words, length(array_to_string(w, ''))::bigint AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols FROM d),
+z AS (SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, coalesce(n_dup_lines, 0)::bigint AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_covered, 0) AS n_covered, coalesce(longest_repeat, 0)::bigint AS longest_repeat
+  FROM x LEFT JOIN s USING (k) LEFT JOIN y USING (k) LEFT JOIN l USING (k)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN n_words > 0 THEN n_covered / n_words ELSE 0.0::double END AS covered FROM z)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered <= 0.4 AND longest_repeat <= 200 AS kept, n_covered, covered, longest_repeat FROM v
+"""

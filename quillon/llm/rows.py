@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,8 @@ from quillon.llm.bytesets import BLOCK, blocks
 
 #: Arrow batches are cut after so many bytes, so that workers hold little of very long texts.
 BATCH_BYTES = 8 << 20
+#: Bytes that go to the JVM at once when a file is written.
+PIECE = 4 << 20
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -67,13 +72,47 @@ def shared(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="quillon-checkpoints-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    sc.setCheckpointDir(folder)
+        at = tempfile.mkdtemp(prefix="quillon-checkpoints-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+    sc.setCheckpointDir(at)
+    # Spark keeps an application's checkpoints; ours go when the driver ends.
+    atexit.register(_gone, sc, sc._jsc.sc().getCheckpointDir().get())
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name in the shared checkpoint folder; it goes when the driver ends."""
+    shared(spark)
+    made = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_gone, spark.sparkContext, made)
+    return made
+
+
+def _gone(sc: SparkContext, path: str) -> None:
+    """Removes a folder at the driver's end, if its session is still there."""
+    with contextlib.suppress(Exception):  # nothing of a run that is over may fail it
+        if sc._jsc is not None:
+            remove(sc, path)
+
+
+def remove(sc: SparkContext, path: str) -> None:
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def put(sc: SparkContext, path: str, pieces: Iterable[bytes]) -> None:
+    """Writes a file in the shared folder, piece by piece."""
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(sc._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        for piece in pieces:
+            for i in range(0, len(piece), PIECE):
+                out.write(bytearray(piece[i : i + PIECE]))
+    finally:
+        out.close()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, reach
     narrow = df.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("t"), *(F.col(c).alias(h) for c, h in held.items()))
     lines = parts(narrow, "row", "t", list(held.values()), reach)
     own = F.col("kind").isNull()
-    made = lines.groupBy("row").agg(*(F.max(F.when(own, F.struct(h))).getField(h).alias(h) for h in held.values()), F.sort_array(F.collect_list(F.when(~own, F.struct("start", "kind", "end", "value")))).alias(out))
+    made = lines.groupBy("row").agg(*(F.first(F.when(own, F.struct(h)), ignorenulls=True).getField(h).alias(h) for h in held.values()), F.sort_array(F.collect_list(F.when(~own, F.struct("start", "kind", "end", "value")))).alias(out))
     return made.select(*(F.col(h).alias(c) for c, h in held.items()), out), out
 
 
@@ -130,6 +130,11 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", reach: int
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of credentials in every document, as the module says.
+
+    Null and empty texts have none; a null doc_id stays null; rows with one id and repeated rows each give a row; whole texts
+    are searched, whatever their length; an empty table gives no rows; other columns aren't read.
+    """
     made, found = scan(read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
     spans = F.col(found)
     count = lambda k: F.size(F.filter(spans, lambda s: s.kind == k)).cast("long")

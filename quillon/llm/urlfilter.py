@@ -5,8 +5,8 @@ first descends by host labels from the right, then by path segments from the lef
 segment (``/en`` also fits ``/english``) sits as a partial entry at the node before.  Each node passed on the way may
 hold a verdict, and the one whose rule is longest (host and path together) wins, a block before an allow.
 
-The trie is built once and sent to every task; ``most`` bounds its rules.  A larger list is cut into tries of at most
-``most`` rules which are applied one after the other, the longest match being kept.
+The trie is built once and sent to every task; ``most`` bounds its rules and ``TRIE_BYTES`` what their nodes may take.  A larger
+list is cut into tries within these bounds, which are applied one after the other, the longest match being kept.
 
 Null urls, and those without ``://``, have an empty host and path; they and urls without a host are blocked, others
 without a rule get ``default``.  A host is what stands between ``://`` and the next ``/``, ``?``, ``#`` or the end, with
@@ -24,6 +24,8 @@ from quillon.llm.rows import bounded, fresh, read
 ALLOW, BLOCK = "allow", "block"
 RULES = [(ALLOW, "com", "/"), (BLOCK, "example.com", "/en/"), (ALLOW, "www.example.com", "/en/"), (BLOCK, "net", "/es/"), (BLOCK, "net", "/fr/")]
 MOST = 1_000_000
+#: Bytes of a trie, counted as ``NODE`` for each label, segment and rule at most, and the characters of the rules.
+TRIE_BYTES, NODE = 256 << 20, 300
 
 
 class Trie:
@@ -86,14 +88,29 @@ def _finder(spark: SparkSession, trie: Trie):
     return find
 
 
+def _parts(rules: list[tuple[str, str, str]], most: int, most_bytes: int = TRIE_BYTES) -> list[list[tuple[str, str, str]]]:
+    """The rules in lists of at most so many rules and bytes, at least one list."""
+    parts: list[list[tuple[str, str, str]]] = [[]]
+    held = 0
+    for rule in rules:
+        _, host, path = rule
+        size = NODE * (host.count(".") + path.count("/") + 3) + 2 * len(host + path)
+        if parts[-1] and (len(parts[-1]) >= most or held + size > most_bytes):
+            parts.append([])
+            held = 0
+        parts[-1].append(rule)
+        held += size
+    return parts
+
+
 def judge(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = ALLOW, most: int = MOST) -> DataFrame:
     """df with a struct (host, path, rule, verdict), named ``filtered`` or, if that is taken, with underscores."""
     bounded(df.sparkSession)
     out = fresh(df, "filtered")
     made = df.withColumn(out, F.struct(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")))
     match = None
-    for i in range(0, max(1, len(rules)), most):
-        one = _finder(df.sparkSession, Trie(rules[i : i + most]))(F.col(f"{out}.host"), F.col(f"{out}.path"))
+    for part in _parts(rules, most):
+        one = _finder(df.sparkSession, Trie(part))(F.col(f"{out}.host"), F.col(f"{out}.path"))
         if match is None:
             match = one
         else:
@@ -106,6 +123,12 @@ def judge(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", de
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the url of every page, as the module says.
+
+    Null and empty urls, and those without a host, are blocked by the method; a null page_id stays null; rows with one id and
+    repeated rows are judged each; urls of any length are judged whole; two rules of one length: a block wins; an empty table gives no rows; other
+    columns aren't read.
+    """
     return judge(read(spark, sf_dir, "pages", "page_id", "url"), RULES).select("page_id", "filtered.*")
 
 

@@ -1,7 +1,9 @@
+import pickle
+
 import pytest
 
 from quillon.llm import decontaminate
-from quillon.llm.decontaminate import OP6_SQL, contained, op6_benchmark_decontamination
+from quillon.llm.decontaminate import EXPANDED, OP6_SQL, Index, contained, op6_benchmark_decontamination
 from tests.llm.conftest import prose
 
 
@@ -56,3 +58,11 @@ def test_item_blocks(spark, monkeypatch):
 def test_odd_rows(spark, folder, empty):
     rows = op6_benchmark_decontamination(spark, folder(empty)).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == (set() if empty else {(7, 0), (None, None)})
+
+
+def test_the_index_is_bounded():
+    """What is broadcast stays within its multiple of the items' bytes, whatever their length."""
+    for words, count in ((6, 4000), (22, 4000), (40, 4000), (700, 300)):
+        items = [(i, prose(i, words)) for i in range(count)]
+        size = sum(len(t) + 100 for _, t in items)
+        assert len(pickle.dumps(Index(items, 5, 64, 0.8))) <= EXPANDED * size + (20 << 20)

@@ -78,6 +78,28 @@ def test_no_context_is_dropped(spark, monkeypatch, held):
     assert all(math.isclose(got[t]["bits"], min(w) / len(t.encode()), rel_tol=1e-5) for t, w in zip(asked, want, strict=True))
 
 
+def test_many_languages(spark, monkeypatch):
+    """Sixty languages with words of their own, one of them with a third of the text: held or in files, the same answers."""
+    import pickle
+    import random
+
+    r = random.Random(8)
+    words = {f"l{i:02d}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyzäöüß", k=r.randint(2, 7))) for _ in range(40)] for i in range(60)}
+    rows = [(x, " ".join(r.choices(own, k=60))) for x, own in words.items() for _ in range(100 if x == "l00" else 4)]
+    asked = [(x, " ".join(r.choices(own, k=30))) for x, own in words.items()]
+    docs, more = spark.createDataFrame(rows, "lang string, text string"), spark.createDataFrame(asked, "want string, text string")
+    answers = []
+    for held in (1 << 30, 0):
+        monkeypatch.setattr(language, "HELD", held)
+        model = learn(docs)
+        found, at = language.identify(more, model)
+        answers.append({row["want"]: tuple(row[at]) for row in found.collect()})
+        if held:
+            grams = sum(len(own[0]) for part in model.parts for own in part)
+            assert len(pickle.dumps(model)) < language.EACH * grams + 4000 * len(model.langs)
+    assert answers[0] == answers[1] and all(a[0] == x for x, a in answers[0].items())
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     rows = op5_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.llm.neardup import cells, near_duplicates, op4_minhash_near_dedup, signatures
+from quillon.llm.neardup import OP4_SQL, cells, near_duplicates, op4_minhash_near_dedup, signatures
 from quillon.llm.bytesets import mix
 from tests.conftest import SF
 from tests.llm.conftest import ODD, prose
@@ -177,3 +177,7 @@ def test_crowded_buckets(spark, monkeypatch):
         monkeypatch.setattr(neardup, "FAN", fan)
         assert {r["id"]: r["class_id"] for r in near_duplicates(df).collect()} == want
     assert len(set(want.values())) == 150
+
+
+def test_sql(spark, same_rows):
+    same_rows(op4_minhash_near_dedup(spark, SF), OP4_SQL)

@@ -1,6 +1,6 @@
 import re
 
-from quillon.llm.quality import judge, op8_quality_rules
+from quillon.llm.quality import OP8_SQL, judge, op8_quality_rules
 from tests.conftest import SF
 from tests.llm.conftest import ODD
 
@@ -62,3 +62,7 @@ def test_clean_labelled_documents_stay(spark):
     labels = spark.read.parquet(f"{d}/labels.parquet").where("quality = 1")
     rows = op8_quality_rules(spark, d).join(labels, "doc_id").where("not base_failed").collect()
     assert len(rows) > 200 and all(r["kept"] for r in rows)
+
+
+def test_sql(spark, same_rows):
+    same_rows(op8_quality_rules(spark, SF), OP8_SQL)

@@ -86,6 +86,13 @@ def test_odd_rows(spark, odd, none, folder):
     assert op1_secret_scans(spark, folder(empty=True)).count() == 0
 
 
+def test_columns_of_any_kind_pass(spark):
+    """Maps can't be compared or grouped by, and are carried all the same."""
+    df = spark.createDataFrame([(1, "token=abcdefghijklm", {"a": 1}), (2, None, None)], "doc_id long, text string, more map<string,int>")
+    got = {r["doc_id"]: (r["text"], r["more"]) for r in redact(df).collect()}
+    assert got == {1: ("token=[SECRET]", {"a": 1}), 2: (None, None)}
+
+
 def test_redaction(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)]
     got = dict(redact(spark.createDataFrame(rows, "i int, text string")).collect())

@@ -1,6 +1,6 @@
 import re
 
-from quillon.llm.urlfilter import ALLOW, BLOCK, OP9_SQL, RULES, Trie, judge, op9_url_filters
+from quillon.llm.urlfilter import ALLOW, BLOCK, NODE, OP9_SQL, RULES, Trie, _parts, judge, op9_url_filters
 
 URLS = [
     None, "", "no scheme", "http://", "http:///x", "://a.com/", "http://a.com", "http://a.com/", "http://a.com?x=/", "HTTP://WWW.Example.COM/en/1", "https://example.com/en/", "https://example.com/en", "https://example.com/EN/1", "https://x.example.com/en/1?y#z", "https://www.example.com/en/9",
@@ -39,6 +39,13 @@ def test_partial_segments_ties_and_cut_lists(spark):
     assert _judged(spark, urls, []) == {i: brute(u, []) for i, u in enumerate(urls)}
 
 
+def test_lists_are_bounded_by_bytes():
+    rules = [(BLOCK, f"h{i}.example.com", "/a/" * (i % 5)) for i in range(50)]
+    parts = _parts(rules, 1000, 6 * NODE * 4)
+    assert [r for p in parts for r in p] == rules and len(parts) > 5
+    assert _parts([], 10) == [[]] and len(_parts(rules, 7)) == 8
+
+
 def test_trie_walks_labels_and_segments():
     t = Trie(RULES)
     assert t.find("a.example.com", "/en/1") == (BLOCK, "example.com/en/")
