@@ -7,8 +7,6 @@ quality rules; repeated rows are near duplicates of each other, so one stays.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from quillon.llm.decontaminate import contained
 from quillon.llm.neardup import BROADCAST_ROWS, near_duplicates
 from quillon.llm.packing import pack, public
 from quillon.llm.quality import judge
-from quillon.llm.rows import cut, fresh, shared
+from quillon.llm.rows import cut, folder, fresh, remove
 from quillon.llm.secrets import redact
 
 
@@ -74,24 +72,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; the others are written below the shared checkpoint folder, each removed when the next is there."""
-    shared(spark)
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows; the others are written below the shared checkpoint folder, each removed when the next is there, the last at the driver's end."""
+    at = folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for i, (_, stage) in enumerate(STAGES):
         made = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
             return made
-        made.write.parquet(path := f"{folder}/{i}")
+        made.write.parquet(path := f"{at}/{i}")
         docs = spark.read.parquet(path)
         if before:
-            _remove(spark, before)
+            remove(spark.sparkContext, before)
         before = path
     return docs
 
-
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
