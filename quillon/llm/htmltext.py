@@ -1,32 +1,35 @@
 """Main text of web pages by template deduction from equivalence classes (operator 3).
 
-Pages of one host are filled into templates.  A page's tokens are its elements, told apart by their path, and its text
-blocks with theirs; tokens with the same occurrence vector over a host's pages form an equivalence class.  A class
-is large and frequent if it has two tokens or more and is on at least half of the host's pages (and on three); it is
-valid if its place in the page nests with, or is disjoint from, those of more frequent classes.  The valid classes
-nested into each other are the host's template, and what is not template text is a slot.
-
-The article is the slots inside ``article`` or ``main`` (else inside an element named as content, else all slots that aren't
-mostly links), without elements that are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments by their tag, role or class.  Template text is left out as well; within an article only if it is
-on nine tenths of at least eight pages.
+Pages of one host are filled into templates.  A page's tokens are its elements, told apart by their path (tags, names and the
+number among like siblings), and its text blocks with their path of tags and names; tokens with the same occurrence vector over
+a host's pages form an equivalence class.  A class is large and frequent if it has two tokens or more and is on at least half of the
+host's pages (and on three); it is valid if its place in the page nests with, or is disjoint from, those of more frequent classes.
+The valid classes nested into each other are the host's template, and what is not template text is a slot.
+
+The main slot is found by descending the template's elements from the root: into the one that holds ``SHARE`` or more of the host's slot
+text (characters outside links and template text, summed over its pages), until there is none, or at ``article`` or ``main``.
+A page's text is all of its main slot, be it repeated or not; if that is the whole page, template text is left out.  Markup and names
+only break ties: a page with ``article`` or ``main`` is read there, and a host without such a slot (fewer than three pages, or none
+alike) is read inside an element named as content, else everywhere but in blocks that are mostly links.  Menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments inside are told by tag, role or class: a whole class name, or
+its last part, is one of a list, with nothing but parts that name a box behind it.
 
 Copies of a page make no template: pages of a host whose article is the same before template text is left out count as
 one, by the page with the least hash of its html, so repeated rows and copies with other menus or adverts keep their text.
 
-Occurrence vectors are never gathered: each is a sum of page hashes, combined before the shuffle, so a host with a third of
+Occurrence vectors are never gathered: each is an exclusive or of page hashes, combined before the shuffle, so a host with a third of
 all pages costs no more than its distinct tokens.  The hashes of copies and the templates are sent to all tasks only if they take at most
 ``BROADCAST`` bytes; else pages are joined to them by host.
 
 Null and empty html give an empty text; a null url is a host of its own name "".  Repeated rows each give a row.
-White space is what str.split takes for it; character references are decoded once.
+White space is what str.split takes for it; character references are decoded once.  Paths are hashes, so elements may be nested to any depth.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from hashlib import md5
+from hashlib import blake2b, md5
+from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
@@ -47,11 +50,14 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _OUT = frozenset("nav header footer aside form button select option dialog menu svg math object audio video canvas head map fieldset datalist".split())
 _OUT_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _OUT_NAME = (
-    "ad|ads|adsbygoogle|adsense|adbox|adslot|adunit|adv|advert|adverts|advertisement|advertising|advertorial|sponsor|sponsored|promo|promotion|banner|cookie|cookies|cookiebar|cookiebanner|consent|gdpr|notice|notices|notification|alert|announcement|disclaimer|toast|"
-    "newsletter|subscribe|subscription|signup|paywall|sidebar|side|aside|rail|nav|navbar|navigation|topnav|subnav|sidenav|topbar|sitemap|toc|menu|menus|breadcrumb|breadcrumbs|footer|header|masthead|comment|comments|commentlist|discussion|replies|responses|disqus|respond|"
-    "share|sharing|social|related|recommended|recommendations|popup|modal|overlay|widget|toolbar|pagination|pager|skip-link|copyright|search|login|outbrain|taboola"
+    "ads?|adsbygoogle|adsense|adbox|adslot|adunit|adv|adverts?|advertise(?:ment|ments|ing)|advertorial|sponsor|sponsored|promo|promotion|banner|cookies?|cookiebar|cookiebanner|consent|gdpr|notices?|notification|alert|announcement|disclaimer|toast|"
+    "newsletter|subscribe|subscription|signup|paywall|sidebar|aside|rail|nav|navbar|navigation|topnav|subnav|sidenav|topbar|sitemap|toc|menus?|breadcrumbs?|footer|masthead|comments?|commentlist|discussion|replies|responses|disqus|respond|"
+    "share|sharing|related|recommended|recommendations|popup|modal|overlay|widget|toolbar|pagination|pager|skip-link|copyright|outbrain|taboola"
 )
-_OUT_CLASS = re.compile(rf"(?:{_OUT_NAME})(?:[-_].*|\d*)|(?!(?:has|with|no|without|is)[-_]).*[-_](?:{_OUT_NAME})", re.I)
+#: Names that tell of boilerplate only as the whole of a class or id, a box part aside.
+_OUT_ALONE = "header|side|social|search|login"
+_BOX = "bar|block|bottom|box|button|buttons|container|content|form|group|icons|inner|item|items|left|link|links|list|outer|panel|right|section|top|unit|area|slot|wrap|wrapper|widget"
+_OUT_CLASS = re.compile(rf"(?:(?:site|page|top|main|global)[-_])?(?:{_OUT_ALONE})(?:[-_](?:{_BOX})|[-_]?\d+)*|(?!(?:has|with|no|without|is)[-_])(?:.*[-_])?(?:{_OUT_NAME})(?:[-_](?:{_BOX}|{_OUT_NAME})|[-_]?\d+)*", re.I)
 _COMMENT_CLASS = re.compile(r"(?:comment|comments|reply|ad|ads|advert\w*|sponsored|related|teaser)(?:[-_].*|\d*)", re.I)
 _CONTENT_CLASS = re.compile(r"(?:main|page|article|post|entry|story|text|body)?[-_]?(?:content|article|post|entry|story)[-_]?(?:body|text|main|area|wrapper|inner)?|(?:article|post|entry|story)[-_]?(?:body|text|main)", re.I)
 _MAIN_CLASS = re.compile(r"(?:main|text|body)[-_]?(?:area|column|text|inner)?", re.I)
@@ -80,119 +86,152 @@ def _names(attributes: str) -> tuple[str, str, bool]:
     return role, " ".join(names), hidden
 
 
-def blocks(html: str) -> tuple[list[tuple[str, str, int, bool, float]], list[str]]:
-    """Text blocks (path, text, region, out, share of link characters) and the paths of elements, in page order.
+#: Elements that a slot may be; kinds of tokens.
+_BOXES = frozenset("html body div section td tr tbody table center span ul ol li dl dd".split())
+_TEXT, _BOXED, _MARKED, _OTHER = 0, 1, 2, 3
+#: The part of a host's slot text that an element must hold to be descended into.
+SHARE = 0.6
+
+
+def _hash(*parts: str | int) -> int:
+    """A signed number of 64 bits."""
+    return int.from_bytes(blake2b("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+class Page:
+    """A parsed page: its text blocks and elements, in page order.
 
-    Region is 3 inside article or main, 2 or 1 inside an element named as content or as the main part, else 0; ``out`` is
-    boilerplate by name.
+    ``blocks``: (path of tags and names, text, region, out, share of link characters, element, place).  Region is 3 inside article or
+    main, 2 or 1 inside an element named as content or as the main part, else 0; ``out`` is boilerplate by name.
+    ``elements``: (token, parent's number, kind, place); the first is the page itself.  Places are shares of all elements and blocks.
     """
-    found: list[tuple[str, str, int, bool, float]] = []
-    elements: list[str] = []
-    stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # tag, path, region, out
-    run: list[str] = []
-    links = inside = 0
-
-    def flush():
-        nonlocal links
-        if run:
-            text = " ".join("".join(run).split())
-            if text:
-                _, path, region, out = stack[-1]
-                found.append((path, text, region, out, links / max(1, len(text))))
-            run.clear()
-        links = 0
-
-    for m in _TOKEN.finditer(html):
-        tag = m[4]
-        if tag is None:
-            raw = m[0]
-            if m[1] or m[2] or raw.startswith("<!--"):
-                if m[1] and m[1].lower() not in ("script", "style", "template"):
+
+    def __init__(self, html: str):
+        self.blocks: list[tuple[int, str, int, bool, float, int, int]] = []
+        self.elements: list[tuple[int, int, int, int]] = [(0, 0, _BOXED, 0)]
+        self._parse(html)
+
+    def _parse(self, html: str) -> None:
+        found, elements = self.blocks, self.elements
+        # tag, path, region, out, element, like children so far
+        stack: list[tuple[str, int, int, bool, int, dict[str, int]]] = [("", 0, 0, False, 0, {})]
+        run: list[str] = []
+        links = inside = 0
+
+        def flush():
+            nonlocal links
+            if run:
+                text = " ".join("".join(run).split())
+                if text:
+                    _, path, region, out, element, _ = stack[-1]
+                    found.append((path, text, region, out, links / max(1, len(text)), element, len(found) + len(elements)))
+                run.clear()
+            links = 0
+
+        for m in _TOKEN.finditer(html):
+            tag = m[4]
+            if tag is None:
+                raw = m[0]
+                if m[1] or m[2] or raw.startswith("<!--"):
+                    if m[1] and m[1].lower() not in ("script", "style", "template"):
+                        flush()
+                    continue
+                text = unescape(raw) if "&" in raw else raw
+                run.append(text)
+                if inside:
+                    links += len(text.strip())
+                continue
+            tag = tag.lower()
+            if m[3]:  # an end tag
+                if tag == "a":
+                    inside = max(0, inside - 1)
+                if tag not in _INLINE:
                     flush()
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == tag:
+                        if tag in _INLINE and i < len(stack) - 1:
+                            break
+                        flush() if stack[-1][3] != stack[i - 1][3] else None
+                        del stack[i:]
+                        break
+                    if tag not in ("html", "body", "article", "main") and stack[i][0] in ("article", "main", "body"):
+                        break
                 continue
-            text = unescape(raw) if "&" in raw else raw
-            run.append(text)
-            if inside:
-                links += len(text.strip())
-            continue
-        tag = tag.lower()
-        if m[3]:  # an end tag
             if tag == "a":
-                inside = max(0, inside - 1)
-            if tag not in _INLINE:
-                flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if tag in _INLINE and i < len(stack) - 1:
+                inside = 1
+            attributes = m[5]
+            if tag in _INLINE and stack[-1][0] == tag:  # inside an inline element that is left out: its end is not the outer one's
+                stack.append(stack[-1])
+                continue
+            if tag in _INLINE and not attributes:
+                continue
+            role, names, hidden = _names(attributes) if attributes.strip(" /") else ("", "", False)
+            if tag in _VOID:
+                if tag not in _INLINE:
+                    flush()
+                continue
+            named = names.split()
+            marked = tag in ("article", "main") or role in ("main", "article")
+            if marked:
+                bad = hidden or any(_COMMENT_CLASS.fullmatch(x) for x in named)
+            elif tag in ("html", "body"):
+                bad = False
+            else:
+                bad = hidden or tag in _OUT or role in _OUT_ROLE or any(_OUT_CLASS.fullmatch(x) for x in named)
+            if tag in _INLINE:
+                if bad and not attributes.rstrip().endswith("/"):
+                    flush()
+                    stack.append((tag, *stack[-1][1:3], True, *stack[-1][4:]))
+                continue
+            flush()
+            if tag in _CLOSES or tag != "p":
+                ends = _CLOSES.get(tag, ())
+                while len(stack) > 1:
+                    top = stack[-1][0]
+                    if top == "p" or top in ends or top in _INLINE:
+                        stack.pop()
+                    else:
                         break
-                    flush() if stack[-1][3] != stack[i - 1][3] else None
-                    del stack[i:]
-                    break
-                if tag not in ("html", "body", "article", "main") and stack[i][0] in ("article", "main", "body"):
-                    break
-            continue
-        if tag == "a":
-            inside = 1
-        attributes = m[5]
-        if tag in _INLINE and stack[-1][0] == tag:  # inside an inline element that is left out: its end is not the outer one's
-            stack.append(stack[-1])
-            continue
-        if tag in _INLINE and not attributes:
-            continue
-        role, names, hidden = _names(attributes) if attributes.strip(" /") else ("", "", False)
-        _, path, region, out = stack[-1]
-        if tag in _VOID:
-            if tag not in _INLINE:
-                flush()
-            continue
-        named = names.split()
-        if tag in ("article", "main") or role in ("main", "article"):
-            bad = hidden or any(_COMMENT_CLASS.fullmatch(x) for x in named)
-        elif tag in ("html", "body"):
-            bad = False
-        else:
-            bad = hidden or tag in _OUT or role in _OUT_ROLE or any(_OUT_CLASS.fullmatch(x) for x in named)
-        if tag in _INLINE:
-            if bad and not attributes.rstrip().endswith("/"):
-                flush()
-                stack.append((tag, path, region, True))
-            continue
+            elif stack[-1][0] == "p":
+                stack.pop()
+            if attributes.rstrip().endswith("/") and tag in ("svg", "path", "use"):
+                continue
+            _, path, region, out, parent, like = stack[-1]
+            name = f"{tag}.{'.'.join(named)}"
+            nth = like[name] = like.get(name, 0) + 1
+            if marked:
+                region = _ARTICLE
+            elif named and region < _CONTENT and tag in ("div", "section", "td"):
+                if any(_CONTENT_CLASS.fullmatch(x) for x in named):
+                    region = _CONTENT
+                elif any(_MAIN_CLASS.fullmatch(x) for x in named):
+                    region = _NAMED
+            kind = _MARKED if marked else _BOXED if tag in _BOXES else _OTHER
+            elements.append((_hash("e", elements[parent][0], name, nth), parent, kind, len(found) + len(elements)))
+            stack.append((tag, _hash("p", path, name), region, out or bad, len(elements) - 1, {}))
         flush()
-        if tag in _CLOSES or tag != "p":
-            ends = _CLOSES.get(tag, ())
-            while len(stack) > 1:
-                top = stack[-1][0]
-                if top == "p" or top in ends:
-                    stack.pop()
-                elif top in _INLINE:
-                    stack.pop()
-                else:
-                    break
-        elif stack[-1][0] == "p":
-            stack.pop()
-        if attributes.rstrip().endswith("/") and tag in ("svg", "path", "use"):
-            continue
-        _, path, region, out = stack[-1]
-        path = f"{path}/{tag}.{'.'.join(named)}" if len(stack) < 40 else path
-        if tag in ("article", "main") or role in ("main", "article"):
-            region = _ARTICLE
-        elif named and region < _CONTENT and tag in ("div", "section", "td"):
-            if any(_CONTENT_CLASS.fullmatch(x) for x in named):
-                region = _CONTENT
-            elif any(_MAIN_CLASS.fullmatch(x) for x in named):
-                region = _NAMED
-        elements.append(path)
-        stack.append((tag, path, region, out or bad))
-    flush()
-    return found, elements
-
-
-def _hash(*parts: str) -> int:
-    b = "\x00".join(parts).encode("utf-8", "surrogatepass")
-    return (zlib.crc32(b) << 31) ^ zlib.crc32(b, 0x5BD1E995) ^ (len(b) << 8)
-
-
-def _place(path: str, text: str) -> int:
+
+    def tokens(self) -> Iterator[tuple[int, int, int, int, int]]:
+        """(token, token of the element around, kind, slot characters in it, place) of all elements and blocks but the page itself."""
+        mass = [0] * len(self.elements)
+        for path, text, _, out, links, element, place in self.blocks:
+            if not out and links <= 0.5:
+                mass[element] += len(text)
+            yield _place(path, text), self.elements[element][0], _TEXT, 0 if out or links > 0.5 else len(text), place
+        for i in range(len(self.elements) - 1, 0, -1):
+            token, parent, kind, place = self.elements[i]
+            mass[parent] += mass[i]
+            yield token, self.elements[parent][0], kind, mass[i], place
+
+    def within(self, token: int) -> list[bool] | None:
+        """Whether each element lies in the one with the token; None if the page has no such element."""
+        held = [False] * len(self.elements)
+        for i, (own, parent, _, _) in enumerate(self.elements):
+            held[i] = own == token or i > 0 and held[parent]
+        return held if any(held) else None
+
+
+def _place(path: int, text: str) -> int:
     return _hash("x", path, text)
 
 
@@ -207,19 +246,20 @@ def _distinct(pages: DataFrame) -> DataFrame:
                 if (host, twin) in seen:
                     seen[host, twin][1] += 1
                 else:
-                    seen[host, twin] = [md5(article(html, frozenset(), frozenset()).encode("utf-8", "surrogatepass")).digest(), 1]
+                    seen[host, twin] = [md5(article(html).encode("utf-8", "surrogatepass")).digest(), 1]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.binary()), pa.array([m for m, _ in seen.values()], pa.binary()), pa.array([n for _, n in seen.values()], pa.int64())], names=["host", "twin", "main", "n"])
 
     return pages.select("host", "twin", "html").mapInArrow(run, schema).groupBy("host", "twin", "main").agg(F.sum("n").alias("n"))
 
 
 def occurrences(pages: DataFrame, copies: DataFrame) -> DataFrame:
-    """(host, token, support, vector, place): each token's pages, the fingerprint of its occurrence vector, and its mean place.
+    """(host, token, support, vector, place, mass, around, kind): each token's pages, the fingerprint of its occurrence vector, its mean
+    place, the slot characters in it, the element around it and its kind.
 
     ``pages`` has host, twin (the hash of html) and html; ``copies`` (host, twin, stands) those that share their article with
     other rows, and whether they stand for all of them.
     """
-    schema = "host string, token long, copy binary, support long, vector long, place double"
+    schema = "host string, token long, copy binary, support long, vector long, place double, mass long, around long, kind int"
     pages = pages.select("host", "twin", "html")
     size = copies.agg(F.sum(100 + F.octet_length("host"))).first()[0] or 0
     if size <= BROADCAST:
@@ -239,47 +279,72 @@ def occurrences(pages: DataFrame, copies: DataFrame) -> DataFrame:
                     continue
                 if stands:
                     done.add((host, twin))
-                found, elements = blocks(html or "")
+                page = Page(html or "")
+                n = len(page.elements) + len(page.blocks)
                 tokens: dict[int, list] = {}
-                n = len(elements) + 1
-                for i, path in enumerate(elements):
-                    t = tokens.setdefault(_hash("e", path), [0, i / n])
-                    t[0] += 1
-                m = len(found) + 1
-                for i, (path, text, *_) in enumerate(found):
-                    t = tokens.setdefault(_place(path, text), [0, i / m])
+                for token, around, kind, mass, place in page.tokens():
+                    t = tokens.setdefault(token, [0, place / n, 0, around, kind])
                     t[0] += 1
-                for token, (count, place) in tokens.items():
-                    page = zlib.crc32(b"%s:%d" % (twin, count))
-                    s = seen.setdefault((host, token, twin if stands else None), [0, 0, 0.0])
+                    t[2] += mass
+                for token, (count, place, mass, around, kind) in tokens.items():
+                    s = seen.setdefault((host, token, twin if stands else None), [0, 0, 0.0, 0, around, kind])
                     s[0] += 1
-                    s[1] += page
+                    s[1] ^= _hash(twin.hex(), count)
                     s[2] += place
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))), *(pa.array([seen[k][i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64())))], names=["host", "token", "copy", "support", "vector", "place"])
+                    s[3] += mass
+            keys, values = list(seen), list(seen.values())
+            arrays = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))]
+            arrays += [pa.array([v[i] for v in values], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["host", "token", "copy", "support", "vector", "place", "mass", "around", "kind"])
 
     made = pages.mapInArrow(run, schema)
-    once = made.groupBy("host", "token", "copy").agg(*(F.when(F.col("copy").isNull(), F.sum(c)).otherwise(F.max(c)).alias(c) for c in ("support", "vector", "place")))
-    return once.groupBy("host", "token").agg(F.sum("support").alias("support"), F.sum("vector").alias("vector"), (F.sum("place") / F.sum("support")).alias("place"))
+    # A page that stands for its copies may come from several tasks, with the same values.
+    whole = F.col("copy").isNull()
+    sums = (F.when(whole, F.sum(c)).otherwise(F.max(c)).alias(c) for c in ("support", "place", "mass"))
+    kept = F.max("around").alias("around"), F.max("kind").alias("kind")
+    once = made.groupBy("host", "token", "copy").agg(*sums, F.when(whole, F.bit_xor("vector")).otherwise(F.max("vector")).alias("vector"), *kept)
+    return once.groupBy("host", "token").agg(F.sum("support").alias("support"), F.bit_xor("vector").alias("vector"), (F.sum("place") / F.sum("support")).alias("place"), F.sum("mass").alias("mass"), *kept)
 
 
-def _nested(rows: pd.DataFrame) -> pd.DataFrame:
-    """The template of one host from its frequent tokens: those of valid classes."""
-    n = int(rows["pages"].iloc[0])
+def _classes(rows: pd.DataFrame) -> list[tuple]:
+    """The valid classes of one host's frequent tokens: (- support, - tokens, first place, last place, tokens)."""
     classes = []
     for (support, _), c in rows.groupby(["support", "vector"], sort=False):
         if len(c) >= 2:
-            classes.append((-int(support), -len(c), float(c["place"].min()), float(c["place"].max()), c["token"].tolist()))
+            classes.append((-int(support), -len(c), float(c["place"].min()), float(c["place"].max()), sorted(c["token"].tolist())))
     kept: list[tuple] = []
-    for c in sorted(classes, key=lambda c: c[:4]):
+    for c in sorted(classes):
         if all(c[2] >= k[2] and c[3] <= k[3] or c[2] <= k[2] and c[3] >= k[3] or c[3] < k[2] or c[2] > k[3] for k in kept):
             kept.append(c)
-    often = [t for c in kept if n >= 8 and -c[0] >= 0.9 * n for t in c[4]]
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "tokens": [sorted(t for c in kept for t in c[4])], "often": [sorted(often)]})
+    return kept
+
+
+def _nested(rows: pd.DataFrame) -> pd.DataFrame:
+    """The template of one host from its frequent tokens: the texts of valid classes, and the main slot."""
+    valid = {t for c in _classes(rows) for t in c[4]}
+    kind, mass, around = ({t: int(v) for t, v in zip(rows["token"], rows[c], strict=True)} for c in ("kind", "mass", "around"))
+    texts = sorted(t for t in valid if kind[t] == _TEXT)
+    for t in texts:  # what is template text fills no slot
+        at = around[t]
+        while at in mass:
+            mass[at] -= mass[t]
+            at = around[at]
+    below: dict[int, list[int]] = {}
+    for t in valid:
+        if kind[t] in (_BOXED, _MARKED):
+            below.setdefault(around[t], []).append(t)
+    main = 0
+    have = sum(mass[t] for t in kind if kind[t] != _TEXT and around[t] == 0)
+    while have > 0 and kind.get(main) != _MARKED:
+        best = max(below.get(main, ()), key=lambda t: (mass[t], kind[t] == _MARKED, t), default=None)
+        if best is None or mass[best] < SHARE * have:
+            break
+        main, have = best, mass[best]
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "tokens": [texts], "main": [main]})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens, often): the tokens of each host's template, and those on nearly all of at least eight pages.
+    """(host, tokens, main): the text tokens of each host's template, and the token of its main slot (0: the page).
 
     ``pages`` has host and html; pages with the same article count as one.
     """
@@ -289,20 +354,22 @@ def templates(pages: DataFrame) -> DataFrame:
     copies = cut(each.select("host", "main", "twin").join(mains.where("n > 1"), ["host", "main"]).select("host", "twin", (F.col("twin") == F.col("first")).alias("stands")))
     whole = mains.groupBy("host").agg(F.count("*").alias("pages"))
     frequent = occurrences(pages, copies).where("support >= 3").join(whole, "host").where("2 * support >= pages")
-    return frequent.groupBy("host").applyInPandas(_nested, "host string, tokens array<long>, often array<long>")
+    return frequent.groupBy("host").applyInPandas(_nested, "host string, tokens array<long>, main long")
 
 
-def article(html: str | None, template: frozenset[int], often: frozenset[int]) -> str:
-    """The main text of a page."""
-    found, _ = blocks(html or "")
-    usable = [b for b in found if not b[3]]
+def article(html: str | None, template: frozenset[int] = frozenset(), main: int = 0) -> str:
+    """The main text of a page, given its host's template and main slot."""
+    page = Page(html or "")
+    usable = [b for b in page.blocks if not b[3]]
     region = max((b[2] for b in usable), default=0)
+    held = page.within(main) if main and region < _ARTICLE else None
+    if held and not any(held[b[5]] for b in usable):
+        held = None
     kept = []
-    for path, text, where, _, links in usable:
-        if where < region or where == 0 and links > 0.5:
+    for path, text, where, _, links, element, _ in usable:
+        if not held[element] if held else where < region or where == 0 and links > 0.5:
             continue
-        repeated = often if where == _ARTICLE else template
-        if repeated and _place(path, text) in repeated:
+        if not held and not region and template and _place(path, text) in template:
             continue
         kept.append(text)
     return " ".join(kept)
@@ -314,14 +381,14 @@ def extract(df: DataFrame, page: str = "page_id", url: str = "url", html: str =
     bounded(spark)
     pages = df.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
     made = cut(templates(pages))
-    size = made.agg(F.sum(64 + 8 * (F.size("tokens") + F.size("often")))).first()[0] or 0
+    size = made.agg(F.sum(128 + F.octet_length("host") + 60 * F.size("tokens"))).first()[0] or 0
     schema = T.StructType([T.StructField("page", df.schema[page].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
     if size <= BROADCAST:
-        shared = spark.sparkContext.broadcast({h: (frozenset(t), frozenset(o)) for h, t, o in made.toLocalIterator()})
+        shared = spark.sparkContext.broadcast({h: (frozenset(t), m) for h, t, m in made.toLocalIterator()})
     else:
         shared = None
-        pages = pages.join(made, "host", "left").select("host", "page", "url", "html", "tokens", "often")
-    none = (frozenset(), frozenset())
+        pages = pages.join(made, "host", "left").select("host", "page", "url", "html", "tokens", "main")
+    none = (frozenset(), 0)
 
     def run(batches):
         for batch in batches:
@@ -332,7 +399,7 @@ def extract(df: DataFrame, page: str = "page_id", url: str = "url", html: str =
                     template = shared.value.get(host, none)
                 else:
                     if host not in seen:
-                        seen[host] = tuple(frozenset(batch.column(c)[i].as_py() or ()) for c in ("tokens", "often"))
+                        seen[host] = frozenset(batch.column("tokens")[i].as_py() or ()), batch.column("main")[i].as_py() or 0
                     template = seen[host]
                 texts.append(article(source, *template))
             yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), pa.array(texts, pa.string())], names=["page", "url", "text"])
@@ -341,5 +408,10 @@ def extract(df: DataFrame, page: str = "page_id", url: str = "url", html: str =
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, as the module says.
+
+    Null and empty html give an empty text; null ids and urls stay null; rows with one id and repeated rows each give a row, and
+    copies make no template; whole pages are read, whatever their length; an empty table gives no rows; other columns aren't read.
+    """
     made = extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
     return made.select(F.col("page").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
