@@ -36,7 +36,9 @@ def findings(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     for i in range(0, max(1, len(rules)), SLICE):
         part = rules[i : i + SLICE]
         hits = F.array_compact(F.array(F.lit(None).cast("int"), *(F.when(condition(r, text, low, F.col("language")), F.lit(n)) for n, r in enumerate(part))))
-        hit = lines.withColumn("hits", hits).where(F.size("hits") > 0).select("ord", "file_path", "language", "line", trimmed(text).alias("line_content"), F.explode("hits").alias("rule_no"))
+        # An outer explode: from an inner one, or from a filter on the hits, the optimizer makes a filter with all patterns in it, beside the projection.
+        hit = lines.select("ord", "file_path", "language", "line", "text", hits.alias("hits")).select("ord", "file_path", "language", "line", "text", F.explode_outer("hits").alias("rule_no"))
+        hit = hit.where("rule_no is not null").select("ord", "file_path", "language", "line", trimmed(text).alias("line_content"), "rule_no")
         table = rules_frame(spark, part).drop("languages", "anchors", "pattern", "match_scope")
         found = hit.join(F.broadcast(table), "rule_no").drop("rule_no")
         out = found if out is None else out.unionByName(found)

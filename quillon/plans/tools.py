@@ -1,13 +1,15 @@
 """The tools that a client calls: arguments are checked, a plan is built, and a response comes back.
 
 A response is {"content": [{"type": "text", "text": ...}]}, with "isError" if something could not be looked at; finding nothing is no
-error.  Results that go into a response are bounded: ``most_files`` ranked files at most are listed, while sums cover all.
+error.  Results that go into a response are bounded by arguments, and a response says if there is more; sums cover all.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import os
+import time
 from collections.abc import Callable
 from typing import Any
 
@@ -22,6 +24,7 @@ from quillon.operators.lines import first_files, split_lines
 from quillon.operators.match import findings
 from quillon.sources import files as source
 
+log = logging.getLogger("quillon.tools")
 MOST_PATH, MOST_FILES = 4096, 200_000
 ADVISORY = "package string, ecosystem string, advisory_id string, severity string, title string, url string, fixed_version string, introduced_version string"
 
@@ -58,7 +61,8 @@ def error_response(message: str, hint: str | None = None) -> dict:
 
 
 def run_tool(name: str, body: Callable[[], dict]) -> dict:
-    """What body returns, or an error response; only path errors go without the tool's name."""
+    """What body returns, or an error response; only path errors go without the tool's name.  How long it took is logged for debugging."""
+    began = time.perf_counter()
     try:
         return body()
     except BadPath as e:
@@ -67,6 +71,8 @@ def run_tool(name: str, body: Callable[[], dict]) -> dict:
         return error_response(f"{name}: {e}", e.hint)
     except Exception as e:
         return error_response(f"{name}: {e}")
+    finally:
+        log.debug("%s took %d ms", name, 1000 * (time.perf_counter() - began))
 
 
 def whole(value: int | None, low: int, high: int, label: str) -> int | None:
@@ -96,26 +102,47 @@ def scan(files: DataFrame, config: suppress.Config | None = None, most: int | No
     return found if known is None else suppress.baseline(found, known)
 
 
-def scan_directory(spark: SparkSession, dir_path: str, max_files: int | None = None, known: DataFrame | None = None, most_files: int = 1000) -> dict:
+_FOUND = ("ruleId", "rule_id"), ("severity", "severity"), ("category", "category"), ("cweId", "cwe_id"), ("message", "message"), ("line", "line"), ("lineContent", "line_content"), ("remediation", "remediation"), ("confidence", "confidence"), ("source", "source"), ("fingerprint", "fingerprint")
+
+
+def scan_directory(spark: SparkSession, dir_path: str, max_files: int | None = None, known: DataFrame | None = None, most_files: int = MOST_FILES, advisories: DataFrame | None = None, imports: DataFrame | None = None) -> dict:
+    """The report of a directory.  With ``advisories`` (a local table) the manifests in it are audited, too.
+
+    Files are matched once; sums, the list and the baseline's counters come from the findings, which are kept until the response is
+    there.  All files with findings are listed, up to ``most_files``; a warning tells if there are more.
+    """
+
     def body():
         whole(max_files, 1, MOST_FILES, "max_files")
         root = path(dir_path, "directory", "dir_path")
         config = source.settings(root)
         files = suppress.without_paths(source.directory(spark, root), config.ignore_paths)
         chosen = first_files(files, max_files)
-        everything = scan(files, config, max_files)
-        found = everything if known is None else suppress.baseline(everything, known)
-        sums = report.envelope(found, chosen).first().asDict()
-        listed = report.ordered(report.by_file(found, listed=True)).limit(most_files)
-        rows = [
-            {"filePath": r["file_path"], "language": r["language"], "totalFindings": r["total_findings"], "findings": [{"ruleId": f["rule_id"], "severity": f["severity"], "category": f["category"], "cweId": f["cwe_id"], "message": f["message"], "filePath": r["file_path"], "line": f["line"], "lineContent": f["line_content"], "remediation": f["remediation"], "confidence": f["confidence"], "source": f["source"], "fingerprint": f["fingerprint"]} for f in r["findings"]], "summary": {s: r[s] for s in SEVERITIES}}
-            for r in listed.collect()
-        ]
-        less = None if known is None else {"applied": True, "suppressedFindings": suppress.suppressed(everything, known).count(), "suppressedDependencies": 0}
+        everything = scan(files, config, max_files).persist()
+        try:
+            found = everything if known is None else suppress.baseline(everything, known)
+            sums = report.envelope(found, chosen).first().asDict()
+            listed = report.ordered(report.by_file(found, listed=True)).limit(most_files)
+            rows = [
+                {"filePath": r["file_path"], "language": r["language"], "totalFindings": r["total_findings"], "findings": [{k: f[c] for k, c in _FOUND} | {"filePath": r["file_path"]} for f in r["findings"]], "summary": {s: r[s] for s in SEVERITIES}}
+                for r in listed.toLocalIterator()
+            ]
+            gone = 0 if known is None else suppress.suppressed(everything, known).count()
+        finally:
+            everything.unpersist()
+        vulnerable, lost = [], 0
+        if advisories is not None:
+            audited = suppress.threshold(deps.audit(source.dependencies(chosen), advisories, imports), config.minimum_severity)
+            left = audited if known is None else suppress.baseline(audited, known)
+            vulnerable = [r.asDict() for r in left.orderBy("path", "package", "advisory_id", "installed_version").toLocalIterator()]
+            lost = 0 if known is None else suppress.suppressed(audited, known).count()
+        less = None if known is None else {"applied": True, "suppressedFindings": gone, "suppressedDependencies": lost}
+        more = sums["files_with_findings"] - len(rows)
         return json_response(
             {
                 "directory": root, "filesScanned": sums["files_scanned"], "filesSkipped": sums["files_skipped"], "filesWithFindings": sums["files_with_findings"], "totalFindings": sums["total_findings"],
-                "summary": {s: sums[s] for s in SEVERITIES}, "dependencyVulnerabilities": [], "files": rows, "engine": {"engine": "patterns", "available": True, "used": "compatibility"}, "coverage": {"scanned": sums["files_scanned"], "skipped": sums["files_skipped"]}, "warnings": [], "baseline": less,
+                "summary": {s: sums[s] for s in SEVERITIES}, "dependencyVulnerabilities": vulnerable, "files": rows, "engine": {"engine": "patterns", "available": True, "used": "compatibility"}, "coverage": {"scanned": sums["files_scanned"], "skipped": sums["files_skipped"]},
+                "warnings": [f"{more} more files have findings; raise most_files to list them."] if more else [], "baseline": less,
             }
         )
 

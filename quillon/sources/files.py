@@ -6,14 +6,14 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.operators.suppress import Config
 
-#: Larger files are skipped: their text is null.
-MOST_BYTES = 8 << 20
+#: What one value of a table can hold; larger files are skipped: their text is null.
+MOST_BYTES = (1 << 31) - (1 << 20)
 
 
 def directory(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -24,9 +24,11 @@ def directory(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> D
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     path = F.regexp_replace("path", r"^file:/*", "/")
     rel = F.substring(path, len(base) + 2, 1 << 20)
-    text = F.when(F.col("length") <= most_bytes, F.col("content").cast("string"))
-    text = F.when(F.is_valid_utf8(text), text)
-    return units(raw, rel, text, F.xxhash64(rel))
+    # The length decides before contents are read.
+    text = F.col("content").cast("string")
+    fits = raw.where(F.col("length") <= most_bytes).select(rel.alias("rel"), F.when(F.is_valid_utf8(text), text).alias("text"))
+    wide = raw.where(F.col("length") > most_bytes).select(rel.alias("rel"), F.lit(None).cast("string").alias("text"))
+    return units(fits.unionByName(wide), F.col("rel"), F.col("text"), F.xxhash64("rel"))
 
 
 def settings(path: str, name: str = ".quillon.json") -> Config:
@@ -40,7 +42,6 @@ def settings(path: str, name: str = ".quillon.json") -> Config:
 
 
 _ECOSYSTEMS = {"package.json": "npm", "package-lock.json": "npm", "requirements.txt": "PyPI", "poetry.lock": "PyPI", "go.mod": "Go", "Cargo.lock": "crates.io", "pom.xml": "Maven", "Gemfile.lock": "RubyGems", "composer.lock": "Packagist"}
-_DEPENDENCY = "package string, ecosystem string, version string, path string"
 
 
 def ecosystem(path: str) -> str:
@@ -52,37 +53,56 @@ def ecosystem(path: str) -> str:
     raise ValueError(f"{name} is no manifest that is known: {', '.join(_ECOSYSTEMS)}")
 
 
+_MAPS = ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies")
+_MAP = T.MapType(T.StringType(), T.StringType())
+_LOCKED = T.MapType(T.StringType(), T.StructType([T.StructField("version", T.StringType())]))
+_LISTED = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("version", T.StringType())]))
+_PAIRS = "array<struct<package:string,version:string>>"
+_LINE = {
+    "go.mod": r"(?m)^\s*(?:require\s+)?([a-z0-9.-]+\.[a-z]+/\S+)\s+(v\S+)", "Gemfile.lock": r"(?m)^    ([A-Za-z0-9._-]+) \(([^)]+)\)",
+    "": r"(?m)^[ \t]*([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?[ \t]*[=~>]=[ \t]*([0-9][^\s;,#]*)",
+}
+
+
+def _pairs(name: str, text: Column) -> Column:
+    """The (package, version) pairs that a manifest of that name has."""
+    pair = lambda package, version: F.struct(package.alias("package"), version.alias("version"))
+    if name == "package.json":
+        parsed = F.from_json(text, T.StructType([T.StructField(k, _MAP) for k in _MAPS]))
+        return F.concat(*(F.transform(F.map_entries(F.coalesce(parsed[k], F.create_map().cast(_MAP))), lambda e: pair(e.key, e.value)) for k in _MAPS))
+    if name == "package-lock.json":
+        parsed = F.from_json(text, T.StructType([T.StructField("packages", _LOCKED), T.StructField("dependencies", _LOCKED)]))
+        return F.transform(F.map_entries(F.coalesce(parsed.packages, parsed.dependencies)), lambda e: pair(F.regexp_replace(e.key, "^.*node_modules/", ""), e.value.version))
+    if name == "composer.lock":
+        parsed = F.from_json(text, T.StructType([T.StructField("packages", _LISTED)]))
+        return F.transform(parsed.packages, lambda e: pair(e["name"], e["version"]))
+    if name == "pom.xml":
+        found = F.regexp_extract_all(text, F.lit(r"(?s)<dependency>.*?</dependency>"), F.lit(0))
+        get = lambda x, tag: F.regexp_extract(x, rf"<{tag}>\s*([^<]+?)\s*</{tag}>", 1)
+        return F.transform(found, lambda x: pair(F.concat_ws(":", get(x, "groupId"), get(x, "artifactId")), get(x, "version")))
+    pattern = r'(?s)\[\[package\]\]\s*name = "([^"]+)"\s*version = "([^"]+)"' if name in ("poetry.lock", "Cargo.lock") else _LINE.get(name, _LINE[""])
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("package"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("version"))
+    return both.cast(_PAIRS)
+
+
+def dependencies(files: DataFrame) -> DataFrame:
+    """(package, ecosystem, version, path) that manifests and lockfiles among files (file_path, text) name; ranges count as their least version.
+
+    All files are read in one pass; those of other names, and null texts, give nothing.
+    """
+    name = F.element_at(F.split("file_path", "/"), -1)
+    kind, pairs = F.lit(None).cast("string"), F.lit(None).cast(_PAIRS)
+    for known in [*_ECOSYSTEMS, ""]:
+        mine = F.endswith(name, F.lit(".txt")) & ~name.isin(*_ECOSYSTEMS) if not known else name == known
+        kind, pairs = F.when(mine, _ECOSYSTEMS.get(known, "PyPI")).otherwise(kind), F.when(mine, _pairs(known, F.col("text"))).otherwise(pairs)
+    rows = files.where(name.isin(*_ECOSYSTEMS) | F.endswith(name, F.lit(".txt"))).select(kind.alias("ecosystem"), F.col("file_path").alias("path"), F.explode_outer(pairs).alias("e"))
+    return rows.where("e.package <> ''").select("e.package", "ecosystem", F.regexp_replace("e.version", r"^[\^~>=<\s]+", "").alias("version"), "path").distinct()
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(package, ecosystem, version, path) that a manifest or lockfile names; ranges count as their least version."""
-    kind, name = ecosystem(path), os.path.basename(path)
-    whole = spark.read.text(path, wholetext=True)
-    lines = spark.read.text(path)
-    if name in ("package.json", "composer.lock", "package-lock.json"):
-        deps = T.MapType(T.StringType(), T.StringType())
-        if name == "package.json":
-            parsed = whole.select(F.from_json("value", T.StructType([T.StructField(k, deps) for k in ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies")])).alias("j"))
-            maps = [F.coalesce(F.col(f"j.{k}"), F.create_map().cast(deps)) for k in ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies")]
-            rows = parsed.select(F.explode(F.concat(*(F.map_entries(m) for m in maps))).alias("e")).select(F.col("e.key").alias("package"), F.col("e.value").alias("version"))
-        elif name == "package-lock.json":
-            locked = T.MapType(T.StringType(), T.StructType([T.StructField("version", T.StringType())]))
-            parsed = whole.select(F.from_json("value", T.StructType([T.StructField("packages", locked), T.StructField("dependencies", locked)])).alias("j"))
-            rows = parsed.select(F.explode(F.map_entries(F.coalesce("j.packages", "j.dependencies"))).alias("e")).select(F.regexp_replace("e.key", "^.*node_modules/", "").alias("package"), F.col("e.value.version").alias("version"))
-        else:
-            package = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("version", T.StringType())]))
-            parsed = whole.select(F.from_json("value", T.StructType([T.StructField("packages", package)])).alias("j"))
-            rows = parsed.select(F.explode("j.packages").alias("e")).select(F.col("e.name").alias("package"), F.col("e.version").alias("version"))
-    elif name in ("poetry.lock", "Cargo.lock"):
-        found = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r'(?s)\[\[package\]\]\s*name = "[^"]+"\s*version = "[^"]+"'), F.lit(0))).alias("x"))
-        rows = found.select(F.regexp_extract("x", r'name = "([^"]+)"', 1).alias("package"), F.regexp_extract("x", r'version = "([^"]+)"', 1).alias("version"))
-    elif name == "pom.xml":
-        found = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<dependency>.*?</dependency>"), F.lit(0))).alias("x"))
-        get = lambda tag: F.regexp_extract("x", rf"<{tag}>\s*([^<]+?)\s*</{tag}>", 1)
-        rows = found.select(F.concat_ws(":", get("groupId"), get("artifactId")).alias("package"), get("version").alias("version"))
-    else:
-        pattern = {"go.mod": r"^\s*(?:require\s+)?([a-z0-9.-]+\.[a-z]+/\S+)\s+(v\S+)", "Gemfile.lock": r"^    ([A-Za-z0-9._-]+) \(([^)]+)\)"}.get(name, r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*[=~>]=\s*([0-9][^\s;,#]*)")
-        rows = lines.where(F.col("value").rlike(pattern)).select(F.regexp_extract("value", pattern, 1).alias("package"), F.regexp_extract("value", pattern, 2).alias("version"))
-    rows = rows.where("package <> ''").select("package", F.lit(kind).alias("ecosystem"), F.regexp_replace("version", r"^[\^~>=<\s]+", "").alias("version"), F.lit(path).alias("path"))
-    return rows.distinct()
+    """(package, ecosystem, version, path) that one manifest or lockfile names."""
+    ecosystem(path)
+    return dependencies(spark.read.text(path, wholetext=True).select(F.lit(path).alias("file_path"), F.col("value").alias("text")))
 
 
 def commits(spark: SparkSession, folder: str) -> DataFrame:
