@@ -13,10 +13,11 @@ from quillon.functions.text import entropy, fingerprint, language, redacted, tri
 from quillon.functions.versions import before
 from quillon.operators import deps, report, review, suppress
 from quillon.operators.credentials import DETECTORS, secrets
-from quillon.operators.history import newest
+from quillon.operators.history import history_secrets, newest
 from quillon.operators.lines import first_files, split_lines, units
 from quillon.operators.match import findings
 from quillon.sources.corpus import code_lines, code_lines_sql, quoted
+from quillon.sources.files import dependencies
 from quillon.sources.rules import BY_ID, RULES, Rule, rules_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +37,7 @@ def _condition(rule: Rule) -> str:
 
 def _rules_sql(rules: list[Rule]) -> str:
     langs = lambda r: "[" + ", ".join(quoted(x) for x in r.languages) + "]"
-    return "rules(rule_id, severity, category, cwe_id, message, remediation, languages) AS (VALUES " + ", ".join(f"({quoted(r.rule_id)}, {quoted(r.severity)}, {quoted(r.category)}, {quoted(r.cwe_id)}, {quoted(r.message)}, {quoted(r.remediation)}, {langs(r)})" for r in rules) + ")"
+    return "rules(rule_id, severity, category, cwe_id, message, remediation, languages, match_scope) AS (VALUES " + ", ".join(f"({quoted(r.rule_id)}, {quoted(r.severity)}, {quoted(r.category)}, {quoted(r.cwe_id)}, {quoted(r.message)}, {quoted(r.remediation)}, {langs(r)}, {quoted(r.match_scope) if r.match_scope else 'NULL::varchar'})" for r in rules) + ")"
 
 
 _TRIM = r"regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', '')"
@@ -45,7 +46,7 @@ _TRIM = r"regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', '')"
 def _findings_sql(rules: list[Rule], lines: str = "code_lines") -> str:
     cases = " ".join(f"WHEN {quoted(r.rule_id)} THEN ({_condition(r)})" for r in rules)
     return f"""{_rules_sql(rules)},
-findings AS (SELECT ord, file_path, language, line, {_TRIM} AS line_content, r.rule_id, severity, category, cwe_id, message, remediation, 'medium' AS confidence, 'compatibility' AS source,
+findings AS MATERIALIZED (SELECT ord, file_path, language, line, {_TRIM} AS line_content, r.rule_id, severity, category, cwe_id, message, remediation, 'medium' AS confidence, 'compatibility' AS source,
   sha256(concat_ws('|', r.rule_id, file_path, {_TRIM})) AS fingerprint
   FROM {lines} l JOIN rules r ON (list_contains(r.languages, '*') OR list_contains(r.languages, l.language)) AND CASE r.rule_id {cases} END)"""
 
@@ -78,7 +79,13 @@ _HTTP_SQL = f"WITH urls AS (SELECT page_id AS ord, 'pages/' || page_id AS file_p
 
 
 def _rules_catalog(spark, sf_dir):
-    return rules_frame(spark).select("rule_id", "severity", "category", "cwe_id", "message", "remediation", F.array_join("languages", ",").alias("languages"))
+    return rules_frame(spark).select("rule_id", "severity", "category", "cwe_id", "message", "remediation", F.array_join("languages", ",").alias("languages"), "match_scope")
+
+
+def _scopes(spark, sf_dir):
+    """Findings by the scope of their rule, which is carried and has no effect."""
+    scope = rules_frame(spark).select("rule_id", F.coalesce("match_scope", F.lit("any")).alias("match_scope"))
+    return _found(spark, sf_dir).join(F.broadcast(scope), "rule_id").groupBy("match_scope").agg(F.count("*").alias("n"), F.countDistinct("rule_id").alias("rules"))
 
 
 def _documents(spark, sf_dir):
@@ -126,8 +133,21 @@ def _cwe(spark, sf_dir):
 
 
 def _envelope(spark, sf_dir):
+    """The sums of a scan of which the Go files can't be read, with a baseline and the dependencies' audit."""
     lines = code_lines(spark, sf_dir)
-    return report.envelope(findings(lines), lines.groupBy("file_path").agg(F.max("text").alias("text")))
+    readable = F.col("language") != "go"
+    # A file's lines are numbered, so its first one stands for it: nothing is grouped.
+    files = lines.where("line = 1").select("file_path", F.when(readable, F.col("text")).alias("text"))
+    everything = findings(lines.where(readable))
+    found = suppress.baseline(everything, _known(everything))
+    one = report.envelope(found, files)
+    audited, gone = _audit(spark, sf_dir), _known_dependencies(spark, sf_dir)
+    left = suppress.baseline(audited, gone).agg(F.count("*").alias("dependency_vulnerabilities"))
+    lost = suppress.suppressed(audited, gone).agg(F.count("*").alias("suppressed_dependencies"))
+    less = suppress.suppressed(everything, _known(everything)).agg(F.count("*").alias("suppressed_findings"))
+    for more in (left, lost, less):
+        one = one.withColumn("one", F.lit(1)).join(more.withColumn("one", F.lit(1)), "one").drop("one")
+    return one.select("*", F.lit("src").alias("directory"), F.lit("compatibility").alias("engine"), F.lit(0).alias("warnings"), F.lit(True).alias("baseline_applied"))
 
 
 def _max_files(spark, sf_dir):
@@ -175,6 +195,21 @@ def _history(spark, sf_dir):
     return newest(commits)
 
 
+def _history_secrets(spark, sf_dir):
+    """Documents as commits: two of three lines are added, the rest is there already."""
+    docs = _read(spark, sf_dir, "documents").where("text is not null")
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.when((i + F.col("doc_id")) % 3 != 0, "+").otherwise(" "), x))
+    commits = docs.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("commit_hash"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 977).alias("commit_date"), F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string"), F.lit("/notes.txt")).alias("file_path"), F.array_join(lines, "\n").alias("patch"))
+    return history_secrets(commits, 500).select("commit_hash", "commit_date", "file_path", "line", "secret_type", "severity", "cwe_id", "source", "entropy_score", "line_content", "fingerprint")
+
+
+_HISTORY_SQL = f"""WITH c AS (SELECT doc_id, text, sha256(doc_id::varchar) AS commit_hash, make_timestamp((1700000000 + doc_id % 977) * 1000000) AS commit_date, 'd' || (doc_id % 7) || '/notes.txt' AS file_path FROM documents WHERE text IS NOT NULL),
+few AS (SELECT * FROM c ORDER BY commit_date DESC, commit_hash DESC LIMIT 500),
+added AS (SELECT commit_hash AS ord, commit_date, file_path, i::int AS line, CASE WHEN ends_with(l[i], chr(13)) AND i < len(l) THEN left(l[i], length(l[i]) - 1) ELSE l[i] END AS t FROM (SELECT *, string_split(text, chr(10)) AS l FROM few), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) WHERE (i - 1 + doc_id) % 3 <> 0 AND NOT starts_with(l[i], '++')),
+v AS ({_secrets_sql('added')})
+SELECT v.ord AS commit_hash, d.commit_date, v.file_path, line, secret_type, severity, cwe_id, 'secret-detector' AS source, {_ENTROPY} AS entropy_score, left(value, 4) || '...[' || length(value) || ']' AS line_content, sha256(concat_ws('|', secret_type, v.file_path, value)) AS fingerprint FROM v JOIN few d ON v.ord = d.commit_hash"""
+
+
 # --- Dependencies -----------------------------------------------------------------------------------------------------
 
 
@@ -197,6 +232,10 @@ def _audit(spark, sf_dir, least=None):
     return suppress.threshold(deps.audit(*_dependencies(spark, sf_dir)), least)
 
 
+def _known_dependencies(spark, sf_dir):
+    return _audit(spark, sf_dir).where(F.endswith("advisory_id", F.lit("3"))).select("fingerprint")
+
+
 def _deps_envelope(spark, sf_dir):
     found = _audit(spark, sf_dir, "high")
     sums = found.agg(F.count("*").alias("total_vulnerabilities"), F.lit(True).alias("offline"), *(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES))
@@ -213,11 +252,48 @@ v AS (SELECT d.package, d.ecosystem, installed_version, path, advisory_id, sever
 
 
 def _versions(spark, sf_dir):
-    pairs = [("1.2.3", "1.10.0"), ("1.2", "1.2.0"), ("v2.0.0", "2.0.1"), ("2.0.0-rc1", "2.0.0"), ("3", "2.9.9"), ("1.0.0+build", "1.0.0"), ("0.9", None)]
-    return spark.createDataFrame(pairs, "a string, b string").select("a", "b", before(F.col("a"), F.col("b")).alias("older"))
+    """Versions with and without a leading v, zeros at the end, build and pre-release marks, and dates as long as a number gets."""
+    k = F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    a = F.concat(F.when(k % 3 == 0, "v").otherwise(""), text(k % 4), F.lit("."), text(k % 12), F.when(k % 4 == 0, ".0").otherwise(""), F.when(k % 5 == 0, F.concat(F.lit("."), text(F.lit(20240101120000) + k % 7))).otherwise(""), F.when(k % 7 == 0, "-rc1").otherwise(""), F.when(k % 11 == 0, "+build7").otherwise(""))
+    b = F.when(k % 50 != 0, F.concat(text(k % 3), F.lit("."), text(k % 11), F.when(k % 5 == 0, F.concat(F.lit(".0" + ".0" * 7), F.lit("."), text(F.lit(20240101120003)))).otherwise(""), F.when(k % 13 == 0, "-beta").otherwise("")))
+    return _read(spark, sf_dir, "part").select("p_partkey", a.alias("a"), b.alias("b"), before(a, b).alias("older"))
 
 
-_VERSIONS_SQL = "SELECT * FROM (VALUES ('1.2.3', '1.10.0', true), ('1.2', '1.2.0', false), ('v2.0.0', '2.0.1', true), ('2.0.0-rc1', '2.0.0', true), ('3', '2.9.9', false), ('1.0.0+build', '1.0.0', false), ('0.9', NULL, NULL)) AS x(a, b, older)"
+_PARTS = lambda v: f"list_transform(range(1, 13), lambda i: coalesce(try_cast(string_split(string_split(string_split(ltrim({v}, 'v'), '+')[1], '-')[1], '.')[i] AS hugeint), 0))"
+_VERSIONS_SQL = f"""WITH x AS (SELECT p_partkey, p_partkey AS k FROM part),
+y AS (SELECT p_partkey, (CASE WHEN k % 3 = 0 THEN 'v' ELSE '' END) || (k % 4) || '.' || (k % 12) || (CASE WHEN k % 4 = 0 THEN '.0' ELSE '' END) || (CASE WHEN k % 5 = 0 THEN '.' || (20240101120000 + k % 7) ELSE '' END) || (CASE WHEN k % 7 = 0 THEN '-rc1' ELSE '' END) || (CASE WHEN k % 11 = 0 THEN '+build7' ELSE '' END) AS a,
+  CASE WHEN k % 50 <> 0 THEN (k % 3) || '.' || (k % 11) || (CASE WHEN k % 5 = 0 THEN '.0.0.0.0.0.0.0.0.20240101120003' ELSE '' END) || (CASE WHEN k % 13 = 0 THEN '-beta' ELSE '' END) END AS b FROM x),
+z AS (SELECT *, {_PARTS('a')} AS p, {_PARTS('b')} AS q, contains(a, '-')::int AS pa, contains(b, '-')::int AS pb FROM y)
+SELECT p_partkey, a, b, CASE WHEN b IS NOT NULL THEN p < q OR (p = q AND pa > pb) END AS older FROM z"""
+
+
+def _manifest_files(spark, sf_dir):
+    """A manifest for each part, of nine kinds in turn, which names two packages."""
+    k = F.col("p_partkey")
+    n, v = F.concat(F.lit("lib-"), (k % 50).cast("string")), F.concat((k % 5).cast("string"), F.lit("."), (k % 13).cast("string"))
+    parts = _read(spark, sf_dir, "part").select("p_partkey", n.alias("n"), v.alias("v"))
+    text, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (kind, form) in enumerate(_MANIFESTS):
+        mine = F.col("p_partkey") % len(_MANIFESTS) == i
+        name, text = F.when(mine, kind).otherwise(name), F.when(mine, F.format_string(form, "n", "v", "n", "v")).otherwise(text)
+    return parts.select(F.concat(F.lit("app"), F.col("p_partkey").cast("string"), F.lit("/"), name).alias("file_path"), text.alias("text"))
+
+
+#: Names and contents, each with places for a package, its version, and both of another one.
+_MANIFESTS = [
+    ("package.json", '{"dependencies": {"%s": "^%s"}, "devDependencies": {"%s-dev": "~%s"}, "name": "x"}'), ("package-lock.json", '{"packages": {"": {"version": "0"}, "node_modules/%s": {"version": "%s"}, "node_modules/a/node_modules/%s-dev": {"version": "%s"}}}'),
+    ("requirements.txt", "# needed\n%s==%s\n%s-dev>=%s ; python_version\nunpinned\n"), ("poetry.lock", '[[package]]\nname = "%s"\nversion = "%s"\n\n[[package]]\nname = "%s-dev"\nversion = "%s"\n'), ("Cargo.lock", 'version = 3\n\n[[package]]\nname = "%s"\nversion = "%s"\n\n[[package]]\nname = "%s-dev"\nversion = "%s"\n'),
+    ("go.mod", "module m\n\nrequire (\n\tx.org/%s v%s\n\tx.org/%s-dev v%s\n)\n"), ("Gemfile.lock", "GEM\n  specs:\n    %s (%s)\n      sub (>= 1)\n    %s-dev (%s)\n"), ("composer.lock", '{"packages": [{"name": "%s", "version": "%s"}, {"name": "%s-dev", "version": "%s"}]}'),
+    ("pom.xml", "<project><dependency><groupId>g</groupId><artifactId>%s</artifactId><version>%s</version></dependency>\n<dependency><groupId>g</groupId><artifactId>%s-dev</artifactId><version>%s</version></dependency></project>"),
+]
+_KINDS = "['npm', 'npm', 'PyPI', 'PyPI', 'crates.io', 'Go', 'RubyGems', 'Packagist', 'Maven']"
+_MANIFEST_SQL = f"""SELECT (CASE p_partkey % 9 WHEN 5 THEN 'x.org/' WHEN 8 THEN 'g:' ELSE '' END) || 'lib-' || (p_partkey % 50) || s AS package, ({_KINDS})[p_partkey % 9 + 1] AS ecosystem, (CASE p_partkey % 9 WHEN 5 THEN 'v' ELSE '' END) || (p_partkey % 5) || '.' || (p_partkey % 13) AS version,
+  'app' || p_partkey || '/' || ({[name for name, _ in _MANIFESTS]})[p_partkey % 9 + 1] AS path FROM part, (VALUES (''), ('-dev')) AS x(s)"""
+
+
+def _manifests(spark, sf_dir):
+    return dependencies(_manifest_files(spark, sf_dir))
 
 
 # --- Reviews and arguments --------------------------------------------------------------------------------------------
@@ -239,6 +315,14 @@ plan AS (SELECT n AS ordinal, 'inline_comment' AS type, file_path AS path, n::in
   UNION ALL SELECT coalesce(max(n), 0) + 1, 'review', NULL, NULL, 'COMMENT', 'posted' FROM c)"""
 
 
+def _comment_cap(spark, sf_dir):
+    """Each user's events as the comments of two calls: how many are valid, and whether the call is turned down."""
+    e = _read(spark, sf_dir, "events")
+    call = F.col("user_id") * 2 + (F.col("event_id") % 4 == 0).cast("int")
+    comments = e.select(call.alias("call"), F.when(F.col("event_id") % 211 != 0, F.col("event_type")).alias("path"), (F.col("event_id") % 197).cast("int").alias("line"), F.coalesce(F.nullif("props", F.lit("")), F.lit("-")).alias("body"))
+    return review.checked(comments, "call")
+
+
 def _names(spark, sf_dir):
     name = F.col("c_name")
     shown = F.when(F.col("c_custkey") % 3 == 0, F.concat(name, F.lit("/x"))).when(F.col("c_custkey") % 3 == 1, F.regexp_replace(name, "#", ".")).otherwise(F.lit(""))
@@ -264,7 +348,8 @@ def _defaults(spark, sf_dir):
 _QUERIES: dict[str, tuple[Query, str | None]] = {
     "rule_http_no_tls": (_http_no_tls, _HTTP_SQL),
     **{f"rule_{r.rule_id.lower()}" if r.rule_id != "HTTP_NO_TLS" else "rule_http_no_tls_code": (partial(_rule, r.rule_id), f"WITH {code_lines_sql()}, {_findings_sql([r])} SELECT * FROM findings") for r in RULES},
-    "rules_catalog": (_rules_catalog, f"WITH {_rules_sql(RULES)} SELECT rule_id, severity, category, cwe_id, message, remediation, array_to_string(languages, ',') AS languages FROM rules"),
+    "rules_catalog": (_rules_catalog, f"WITH {_rules_sql(RULES)} SELECT rule_id, severity, category, cwe_id, message, remediation, array_to_string(languages, ',') AS languages, match_scope FROM rules"),
+    "match_scope": (_scopes, f"{_ALL} SELECT coalesce(match_scope, 'any') AS match_scope, count(*) AS n, count(DISTINCT rule_id) AS rules FROM findings JOIN (SELECT rule_id, match_scope FROM rules) USING (rule_id) GROUP BY 1"),
     "findings_all": (_found, f"{_ALL} SELECT * FROM findings"),
     "line_split": (_line_split, f"WITH {_DOC_LINES} SELECT ord, line, {_TRIM} AS line_content FROM doc_lines"),
     "language_detection": (_languages, f"WITH {code_lines_sql()} SELECT language AS detected, count(*) AS lines, count(DISTINCT file_path) AS files FROM code_lines GROUP BY language"),
@@ -275,15 +360,18 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "severity_summary": (lambda s, d: report.summary(_found(s, d)), f"{_ALL} SELECT {_COUNTS} FROM findings"),
     "category_rollup": (lambda s, d: report.rollup(_found(s, d), "category"), f"{_ALL} SELECT category, count(*) AS total_findings, count(DISTINCT file_path) AS files, {_COUNTS} FROM findings GROUP BY category"),
     "cwe_rollup": (lambda s, d: report.rollup(_found(s, d), "cwe_id"), f"{_ALL} SELECT cwe_id, count(*) AS total_findings, count(DISTINCT file_path) AS files, {_COUNTS} FROM findings GROUP BY cwe_id"),
-    "scan_envelope": (_envelope, f"{_ALL} SELECT (SELECT count(DISTINCT file_path) FROM code_lines) AS files_scanned, 0::bigint AS files_skipped, count(DISTINCT file_path) AS files_with_findings, count(*) AS total_findings, {_COUNTS} FROM findings"),
+    "scan_envelope": (_envelope, f"{_ALL}, {_DEPS}, k AS (SELECT DISTINCT fingerprint FROM findings WHERE ord % 3 = 0 AND language <> 'go'), e AS (SELECT * FROM findings WHERE language <> 'go'), f AS (SELECT * FROM e ANTI JOIN k ON e.fingerprint = k.fingerprint), w AS (SELECT fingerprint FROM v WHERE advisory_id LIKE '%3')"
+        f" SELECT (SELECT count(DISTINCT file_path) FROM code_lines WHERE language <> 'go') AS files_scanned, (SELECT count(DISTINCT file_path) FROM code_lines WHERE language = 'go') AS files_skipped, count(DISTINCT file_path) AS files_with_findings, count(*) AS total_findings, {_COUNTS},"
+        f" (SELECT count(*) FROM v ANTI JOIN w ON v.fingerprint = w.fingerprint) AS dependency_vulnerabilities, (SELECT count(*) FROM v SEMI JOIN w ON v.fingerprint = w.fingerprint) AS suppressed_dependencies, (SELECT count(*) FROM e SEMI JOIN k ON e.fingerprint = k.fingerprint) AS suppressed_findings,"
+        f" 'src' AS directory, 'compatibility' AS engine, 0 AS warnings, true AS baseline_applied FROM f"),
     "max_files": (_max_files, f"WITH {_DOC_LINES} SELECT ord, file_path, line, length(t)::int AS chars FROM doc_lines WHERE file_path IN (SELECT DISTINCT 'documents/' || doc_id || '.txt' AS p FROM documents ORDER BY p LIMIT 25)"),
     "threshold": (lambda s, d: suppress.threshold(_found(s, d), "high"), f"{_ALL} SELECT * FROM findings WHERE {_RANK} >= 3"),
     "fail_gate": (lambda s, d: suppress.failing(_found(s, d), "critical"), f"{_ALL} SELECT count(*) FILTER ({_RANK} >= 4) AS failing, count(*) FILTER ({_RANK} >= 4) > 0 AS failed FROM findings"),
     "ignore_paths": (lambda s, d: suppress.without_paths(_found(s, d), _DROP_PATHS), f"{_ALL} SELECT * FROM findings WHERE NOT (file_path = 'src/m1' OR starts_with(file_path, 'src/m1/') OR file_path = 'src/m2/f2.js' OR starts_with(file_path, 'src/m2/f2.js/'))"),
     "ignore_rules": (lambda s, d: suppress.without_rules(_found(s, d), _DROP_RULES), f"{_ALL} SELECT * FROM findings WHERE rule_id NOT IN ('HTTP_NO_TLS', 'CORS_WILDCARD')"),
     "configured": (lambda s, d: suppress.configured(_found(s, d), suppress.Config(["src/m3"], ["EVAL_USAGE"], "medium")), f"{_ALL} SELECT * FROM findings WHERE NOT starts_with(file_path, 'src/m3/') AND rule_id <> 'EVAL_USAGE' AND {_RANK} >= 2"),
-    "baseline": (_baseline, f"{_ALL} SELECT * FROM findings WHERE fingerprint NOT IN (SELECT fingerprint FROM findings WHERE ord % 3 = 0)"),
-    "baseline_counts": (_baseline_counts, f"{_ALL} SELECT count(*) AS suppressed_findings, true AS applied FROM findings WHERE fingerprint IN (SELECT fingerprint FROM findings WHERE ord % 3 = 0)"),
+    "baseline": (_baseline, f"{_ALL} SELECT f.* FROM findings f ANTI JOIN (SELECT DISTINCT fingerprint FROM findings WHERE ord % 3 = 0) k ON f.fingerprint = k.fingerprint"),
+    "baseline_counts": (_baseline_counts, f"{_ALL} SELECT count(*) AS suppressed_findings, true AS applied FROM findings f SEMI JOIN (SELECT DISTINCT fingerprint FROM findings WHERE ord % 3 = 0) k ON f.fingerprint = k.fingerprint"),
     "dedup_fingerprint": (lambda s, d: suppress.deduplicated(_found(s, d)), f"{_ALL} SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY ord, line) = 1"),
     "cwe_knowledge": (_cwe, f"{_ALL} SELECT ord, rule_id, f.cwe_id, name, impact FROM findings f LEFT JOIN (VALUES {', '.join(f'({quoted(a)}, {quoted(b)}, {quoted(c)})' for a, b, c in _CWE)}) AS k(cwe_id, name, impact) ON f.cwe_id = k.cwe_id"),
     "detectors_union": (_union, f"{_ALL}, v AS ({_secrets_sql('code_lines')}) SELECT source, severity, count(*) AS n FROM (SELECT source, severity FROM findings UNION ALL SELECT 'secret-detector', severity FROM v) GROUP BY ALL"),
@@ -292,6 +380,8 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "value_entropy": (_entropies, f"WITH v AS (SELECT c_custkey, c_name AS value FROM customer) SELECT c_custkey, {_ENTROPY} AS entropy, left(value, 4) || '...[' || length(value) || ']' AS shown FROM v"),
     "fingerprints": (lambda s, d: _read(s, d, "nation").select("n_nationkey", fingerprint(F.col("n_nationkey"), F.col("n_name"), F.lit(None)).alias("fingerprint")), "SELECT n_nationkey, sha256(n_nationkey || '|' || n_name || '|') AS fingerprint FROM nation"),
     "history_newest": (_history, "SELECT sha256(event_id::varchar) AS commit_hash, ts AS commit_date, user_id FROM events ORDER BY ts DESC, commit_hash DESC LIMIT 100"),
+    "history_secrets": (_history_secrets, _HISTORY_SQL),
+    "manifest_dependencies": (_manifests, _MANIFEST_SQL),
     "deps_audit": (_audit, f"WITH {_DEPS} SELECT * FROM v"),
     "deps_threshold": (partial(_audit, least="high"), f"WITH {_DEPS} SELECT * FROM v WHERE {_RANK} >= 3"),
     "deps_histogram": (lambda s, d: deps.histogram(_audit(s, d, "medium")), f"WITH {_DEPS} SELECT s.severity, count(v.severity) AS n FROM (VALUES ('critical'), ('high'), ('medium'), ('low'), ('info')) AS s(severity) LEFT JOIN v ON v.severity = s.severity AND {_RANK.replace('severity', 'v.severity', 1)} >= 2 GROUP BY s.severity"),
@@ -299,6 +389,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "version_order": (_versions, _VERSIONS_SQL),
     "review_plan": (_plan, f"{_ALL}, {_PLAN} SELECT * FROM plan"),
     "review_totals": (lambda s, d: review.totals(_plan(s, d), "owner/repo#7"), f"{_ALL}, {_PLAN} SELECT 'owner/repo#7' AS pr, count(*) AS total_actions, count(*) FILTER (status = 'posted') AS posted, count(*) FILTER (status = 'failed') AS failed FROM plan"),
+    "comment_cap": (_comment_cap, "SELECT call, count(*) AS comments, count(*) FILTER (ok) AS valid, count(*) > 50 OR count(*) FILTER (NOT ok) > 0 AS rejected FROM (SELECT user_id * 2 + (event_id % 4 = 0)::int AS call, event_id % 211 <> 0 AND length(event_type) BETWEEN 1 AND 4096 AND event_id % 197 > 0 AND length(coalesce(nullif(props, ''), '-')) BETWEEN 1 AND 65536 AS ok FROM events) GROUP BY call"),
     "review_names": (_names, r"SELECT c_custkey, name, regexp_full_match(name, '[A-Za-z0-9._-]+') AND length(name) BETWEEN 1 AND 100 AS valid FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name || '/x' WHEN 1 THEN replace(c_name, '#', '.') ELSE '' END AS name FROM customer)"),
     "argument_bounds": (_bounds, "SELECT o_orderkey, o_orderkey - 3 BETWEEN 1 AND 1000000 AS pull_ok, o_orderkey - 3 BETWEEN 1 AND 5000 AS commits_ok, o_orderkey - 3 BETWEEN 1 AND 200000 AS files_ok, o_orderkey % 4 < 3 AS action_ok, length(o_orderpriority) BETWEEN 1 AND 65536 AS body_ok FROM orders"),
     "argument_defaults": (_defaults, "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 1 THEN 'new' || c_custkey END, CASE WHEN c_custkey % 2 = 0 THEN 'old' || c_custkey END) AS path, CASE WHEN c_custkey % 4 = 0 THEN c_custkey ELSE 100 END AS max_commits, CASE WHEN c_custkey % 5 = 0 THEN 'APPROVE' ELSE 'COMMENT' END AS action FROM customer"),

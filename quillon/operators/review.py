@@ -16,6 +16,12 @@ def valid(comments: DataFrame) -> DataFrame:
     return comments.withColumn("valid", F.coalesce(ok, F.lit(False)))
 
 
+def checked(comments: DataFrame, call: str) -> DataFrame:
+    """(call, comments, valid, rejected): a call is turned down if it has too many comments or one that isn't valid."""
+    sums = valid(comments).groupBy(call).agg(F.count("*").alias("comments"), F.count_if("valid").alias("valid"))
+    return sums.withColumn("rejected", (F.col("comments") > MOST_COMMENTS) | (F.col("valid") < F.col("comments")))
+
+
 def planned(comments: DataFrame, summary: str | None = None, action: str | None = None, failed: DataFrame | None = None) -> DataFrame:
     """(ordinal, type, path, line, action, status): inline comments in order, then the summary's review.
 

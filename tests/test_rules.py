@@ -17,7 +17,29 @@ CASES = {
     "DEBUG_MODE_PROD": (["debug: 1", "DEBUG=true", 'a, debug = "true"', "app.set('env','development')"], ["debug: 10", "debug: trueish", "my.debug = true", "undebug: 1"]),
     "CORS_CREDENTIALS_WILDCARD": (["credentials: true, origin: *"], ["origin: '*', credentials: true"]),
     "AI_PROMPT_INJECTION_DIRECT_INPUT": (["prompt = user.text"], ["prompt = user, other"]),
-    "RATE_LIMIT_MISSING": (["app.patch('/reset')"], ["app.post('/home')"]),
+    "RATE_LIMIT_MISSING": (["app.patch('/reset')", 'APP.DELETE( "/auth/x")'], ["app.post('/home')", "app.get('/login')", "router.post('/login')"]),
+    "AI_PROMPT_TEMPLATE_USER_INPUT": (["openai.invoke(x); invoke(`${a.message}`)", "anthropic( `hi ${request.q}`"], ["openai(`hi ${name}`)", "openai('user')"]),
+    "AI_OUTPUT_TO_SHELL": (["child.execSync(cmd + modelText)", "subprocess.Popen([llm])"], ["exec(command)", "subprocess.check(model)"]),
+    "AI_OUTPUT_TO_HTML": (["a.outerHTML = result", "document.write( response)", "dangerouslySetInnerHTML = output"], ["a.innerHTML = page", "a.innerText = result"]),
+    "AI_SECRET_IN_CONTEXT": (["system: 'use the private_key'", "messages = [Authorization]"], ["system: 'be kind'", "contextual = nothing"]),
+    "AI_SECRET_VARIABLE_IN_PROMPT": (["message: `a ${x.apiKey} b`", "prompt=`${env.password}`"], ["prompt = `${x}` + password", "prompt = '${password}'"]),
+    "AI_OUTPUT_TO_TEMPLATE_RESPONSE": (["return ( `a ${output.x} b` )"], ["return `a ${output.x} b`", "res.send(`a ${user.x} b`)"]),
+    "JWT_NONE_ALGORITHM": (["algorithm: 'NONE'", "algorithms : [ \"none\""], ["algorithm: none", "algorithms: ['HS256', 'none']"]),
+    "HARDCODED_JWT_SECRET": (["jwt.sign({a: 1}, 'key')", 'JWT.sign( {} , "longer key")'], ["jwt.sign({a: 1}, 'ab')", "jwt.sign(data, 'long key')", "jwt.sign({a: 1}, key)"]),
+    "SESSION_NO_SECURE": (["session({ cookie: 1, httpOnly : false })"], ["session({ secure: true })", "session(secure: false)"]),
+    "FUNCTION_CONSTRUCTOR": (["x = new  Function ('a')"], ["new function('a')", "newFunction('a')", "Function('a')"]),
+    "CHILD_PROCESS_EXEC": (["execSync(\"ls \" + args)", "exec(`ls ${a}`)", "exec('a' + params.x)"], ["exec('ls')", "exec(\"ls\" + fixed)", "exec(`ls`)"]),
+    "VM_RUN_IN_CONTEXT": (["vm.runInThisContext (c)", "vm.runInContext(c)"], ["vm.runInOtherContext(c)", "VM.runInContext(c)"]),
+    "SETTIMEOUT_STRING": (["setTimeout( \"x\")", "setInterval(`x`)"], ["setTimeout(x, '1')", "settimeout('x')"]),
+    "DYNAMIC_REQUIRE": (["require( params.x)", "require(a + 'b')", "require(userFile)"], ["require('a' + b)", "require(fixed)"]),
+    "DYNAMIC_IMPORT": (["import(inputName)", "import( dir +x)"], ["import x from 'y'", "import('user')"]),
+    "CORS_WILDCARD": (["origin: *", "ORIGIN = '*'", "Access-Control-Allow-Origin: \"*\""], ["origin: 'https://*'", "origins: *"]),
+    "CSRF_DISABLED": (["csrf = false", "CSRF:FALSE", "csurf({disabled: 1})"], ["csrf: 'false'", "disable csurf"]),
+    "STACK_TRACE_LEAK": (["res.send( error.message)", "console.log(err.stack)"], ["console.log(err.message)", "res.send(err)", "RES.send(err.stack)"]),
+    "OPEN_REDIRECT": (["redirect(query.next)", "LOCATION = req.url", "location=userPage"], ["redirect('/a')", "location.href = req.url"]),
+    "PATH_TRAVERSAL_FS": (["fs.readdirSync( req.x)", "writeFile(`a/${b}`)", "unlink(p + x)"], ["readFile('a' + b)", "readFile(`a/b`)", "readFiles(req.x)"]),
+    "PATH_TRAVERSAL_JOIN": (["path.join(a, b, params.c)", "path.join('x', userId)"], ["path.join(a) + params.c", "path.resolve(a, req.x)"]),
+    "PATH_TRAVERSAL_SEND_FILE": (["res.sendFile( input)", "download(params.f)"], ["sendFile('user')", "res.sendFile(root + req.x)"]),
 }
 
 
@@ -26,6 +48,10 @@ def _hits(spark, rows, rules):
     return {(r["ord"], r["rule_id"]) for r in findings(lines, rules).select("ord", "rule_id").collect()}
 
 
+def test_every_rule_has_lines():
+    assert set(CASES) == set(BY_ID)
+
+
 @pytest.mark.parametrize("rule_id", CASES)
 def test_lines_for_and_against(spark, rule_id):
     yes, no = CASES[rule_id]

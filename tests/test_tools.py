@@ -48,6 +48,43 @@ def test_settings_and_baseline(spark, project):
     assert less["totalFindings"] == 1 and less["baseline"]["suppressedFindings"] == 1
 
 
+def test_dependencies_of_a_directory(spark, project):
+    (project / "package.json").write_text('{"dependencies": {"a": "1.2.0"}}')
+    (project / "sub").mkdir()
+    (project / "sub" / "requirements.txt").write_text("B==2.0\n")
+    rows = [("A", "npm", "X1", "high", "t", "u", "1.10.0", None), ("b", "PyPI", "X2", "low", "t", "u", None, None)]
+    advisories = spark.createDataFrame(rows, tools.ADVISORY)
+    said = _said(tools.scan_directory(spark, str(project), advisories=advisories))
+    assert [(v["path"], v["advisory_id"]) for v in said["dependencyVulnerabilities"]] == [("package.json", "X1"), ("sub/requirements.txt", "X2")]
+    known = spark.createDataFrame([(said["dependencyVulnerabilities"][0]["fingerprint"],)], "fingerprint string")
+    less = _said(tools.scan_directory(spark, str(project), known=known, advisories=advisories))
+    assert [v["advisory_id"] for v in less["dependencyVulnerabilities"]] == ["X2"] and less["baseline"] == {"applied": True, "suppressedFindings": 0, "suppressedDependencies": 1}
+
+
+def test_all_files_are_listed_or_told_of(spark, project):
+    said = _said(tools.scan_directory(spark, str(project), most_files=2))
+    assert len(said["files"]) == 2 and said["filesWithFindings"] == 3 and len(said["warnings"]) == 1
+    assert _said(tools.scan_directory(spark, str(project)))["warnings"] == []
+
+
+def test_large_files_are_scanned_or_skipped(spark, project):
+    (project / "big.js").write_text("// filler\n" * 1_000_000 + "eval(x)\n")
+    said = _said(tools.scan_directory(spark, str(project)))
+    assert any(f["filePath"] == "big.js" and f["findings"][0]["line"] == 1_000_001 for f in said["files"]) and said["filesSkipped"] == 1
+    skipped = source.directory(spark, str(project), 1000).where("text is null").count()
+    assert skipped == 2
+
+
+def test_patterns_stand_once_in_the_plan(spark):
+    lines = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id as ord", "'a.js' as file_path", "'javascript' as language", "1 as line", "text")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = findings(lines)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("RLIKE") == 32 and plan.count("lower(text") == 1 and plan.count("Relation") == 1
+
+
 def test_arguments(spark, project):
     assert tools.scan_directory(spark, str(project / "none"))["isError"]
     assert "max_files" in _said(tools.scan_directory(spark, str(project), 0))["error"]
