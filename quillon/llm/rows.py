@@ -22,6 +22,7 @@ from quillon.llm.bytesets import BLOCK, blocks
 BATCH_BYTES = 8 << 20
 #: Bytes that go to the JVM at once when a file is written.
 PIECE = 4 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -116,17 +117,21 @@ def put(sc: SparkContext, path: str, pieces: Iterable[bytes]) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read from there: its lineage ends and lost executors cost nothing."""
-    shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written to the shared checkpoint folder and read from there: its lineage ends and lost executors cost nothing.
 
-
-def release(spark: SparkSession) -> None:
-    """Lets the driver drop what nothing refers to any more, so that shuffle files behind a cut table are removed now, not at some later collection."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    Spark removes the shuffle files behind it as soon as it is written; the session's own setting of that is put back.
+    """
+    spark = df.sparkSession
+    shared(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan takes the setting when it is made
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
