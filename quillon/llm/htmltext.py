@@ -28,8 +28,9 @@ White space is what str.split takes for it; character references are decoded onc
 from __future__ import annotations
 
 import re
-from hashlib import blake2b, md5
 from collections.abc import Iterator
+from functools import cached_property
+from hashlib import blake2b, md5
 from html import unescape
 
 import pandas as pd
@@ -101,20 +102,37 @@ def _hash(*parts: str | int) -> int:
 class Page:
     """A parsed page: its text blocks and elements, in page order.
 
-    ``blocks``: (path of tags and names, text, region, out, share of link characters, element, place).  Region is 3 inside article or
-    main, 2 or 1 inside an element named as content or as the main part, else 0; ``out`` is boilerplate by name.
-    ``elements``: (token, parent's number, kind, place); the first is the page itself.  Places are shares of all elements and blocks.
+    ``blocks``: (element, text, region, out, share of link characters, place).  Region is 3 inside article or main, 2 or 1 inside an
+    element named as content or as the main part, else 0; ``out`` is boilerplate by name.
+    ``elements``: (parent's number, kind, place, tag and names, number among like siblings); the first is the page itself.  Places
+    count elements and blocks together.
     """
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[int, str, int, bool, float, int, int]] = []
-        self.elements: list[tuple[int, int, int, int]] = [(0, 0, _BOXED, 0)]
+        self.blocks: list[tuple[int, str, int, bool, float, int]] = []
+        self.elements: list[tuple[int, int, int, str, int]] = [(0, _BOXED, 0, "", 0)]
         self._parse(html)
 
+    @cached_property
+    def tokens(self) -> list[int]:
+        """Each element's token: its path with numbers among like siblings."""
+        made = [0]
+        for parent, _, _, name, nth in self.elements[1:]:
+            made.append(_hash("e", made[parent], name, nth))
+        return made
+
+    @cached_property
+    def paths(self) -> list[int]:
+        """Each element's path of tags and names."""
+        made = [0]
+        for parent, _, _, name, _ in self.elements[1:]:
+            made.append(_hash("p", made[parent], name))
+        return made
+
     def _parse(self, html: str) -> None:
         found, elements = self.blocks, self.elements
-        # tag, path, region, out, element, like children so far
-        stack: list[tuple[str, int, int, bool, int, dict[str, int]]] = [("", 0, 0, False, 0, {})]
+        # tag, region, out, element, like children so far
+        stack: list[tuple[str, int, bool, int, dict[str, int]]] = [("", 0, False, 0, {})]
         run: list[str] = []
         links = inside = 0
 
@@ -123,8 +141,8 @@ class Page:
             if run:
                 text = " ".join("".join(run).split())
                 if text:
-                    _, path, region, out, element, _ = stack[-1]
-                    found.append((path, text, region, out, links / max(1, len(text)), element, len(found) + len(elements)))
+                    _, region, out, element, _ = stack[-1]
+                    found.append((element, text, region, out, links / max(1, len(text)), len(found) + len(elements)))
                 run.clear()
             links = 0
 
@@ -151,7 +169,7 @@ class Page:
                     if stack[i][0] == tag:
                         if tag in _INLINE and i < len(stack) - 1:
                             break
-                        flush() if stack[-1][3] != stack[i - 1][3] else None
+                        flush() if stack[-1][2] != stack[i - 1][2] else None
                         del stack[i:]
                         break
                     if tag not in ("html", "body", "article", "main") and stack[i][0] in ("article", "main", "body"):
@@ -181,7 +199,7 @@ class Page:
             if tag in _INLINE:
                 if bad and not attributes.rstrip().endswith("/"):
                     flush()
-                    stack.append((tag, *stack[-1][1:3], True, *stack[-1][4:]))
+                    stack.append((tag, stack[-1][1], True, *stack[-1][3:]))
                 continue
             flush()
             if tag in _CLOSES or tag != "p":
@@ -196,7 +214,7 @@ class Page:
                 stack.pop()
             if attributes.rstrip().endswith("/") and tag in ("svg", "path", "use"):
                 continue
-            _, path, region, out, parent, like = stack[-1]
+            _, region, out, parent, like = stack[-1]
             name = f"{tag}.{'.'.join(named)}"
             nth = like[name] = like.get(name, 0) + 1
             if marked:
@@ -207,28 +225,28 @@ class Page:
                 elif any(_MAIN_CLASS.fullmatch(x) for x in named):
                     region = _NAMED
             kind = _MARKED if marked else _BOXED if tag in _BOXES else _OTHER
-            elements.append((_hash("e", elements[parent][0], name, nth), parent, kind, len(found) + len(elements)))
-            stack.append((tag, _hash("p", path, name), region, out or bad, len(elements) - 1, {}))
+            elements.append((parent, kind, len(found) + len(elements), name, nth))
+            stack.append((tag, region, out or bad, len(elements) - 1, {}))
         flush()
 
-    def tokens(self) -> Iterator[tuple[int, int, int, int, int]]:
+    def occurring(self) -> Iterator[tuple[int, int, int, int, int]]:
         """(token, token of the element around, kind, slot characters in it, place) of all elements and blocks but the page itself."""
         mass = [0] * len(self.elements)
-        for path, text, _, out, links, element, place in self.blocks:
-            if not out and links <= 0.5:
-                mass[element] += len(text)
-            yield _place(path, text), self.elements[element][0], _TEXT, 0 if out or links > 0.5 else len(text), place
+        for element, text, _, out, links, place in self.blocks:
+            size = 0 if out or links > 0.5 else len(text)
+            mass[element] += size
+            yield _place(self.paths[element], text), self.tokens[element], _TEXT, size, place
         for i in range(len(self.elements) - 1, 0, -1):
-            token, parent, kind, place = self.elements[i]
+            parent, kind, place, _, _ = self.elements[i]
             mass[parent] += mass[i]
-            yield token, self.elements[parent][0], kind, mass[i], place
+            yield self.tokens[i], self.tokens[parent], kind, mass[i], place
 
-    def within(self, token: int) -> list[bool] | None:
-        """Whether each element lies in the one with the token; None if the page has no such element."""
+    def within(self, token: int) -> list[bool]:
+        """Whether each element lies in the one with the token."""
         held = [False] * len(self.elements)
-        for i, (own, parent, _, _) in enumerate(self.elements):
-            held[i] = own == token or i > 0 and held[parent]
-        return held if any(held) else None
+        for i, own in enumerate(self.tokens):
+            held[i] = own == token or held[self.elements[i][0]]
+        return held
 
 
 def _place(path: int, text: str) -> int:
@@ -282,7 +300,7 @@ def occurrences(pages: DataFrame, copies: DataFrame) -> DataFrame:
                 page = Page(html or "")
                 n = len(page.elements) + len(page.blocks)
                 tokens: dict[int, list] = {}
-                for token, around, kind, mass, place in page.tokens():
+                for token, around, kind, mass, place in page.occurring():
                     t = tokens.setdefault(token, [0, place / n, 0, around, kind])
                     t[0] += 1
                     t[2] += mass
@@ -362,14 +380,14 @@ def article(html: str | None, template: frozenset[int] = frozenset(), main: int
     page = Page(html or "")
     usable = [b for b in page.blocks if not b[3]]
     region = max((b[2] for b in usable), default=0)
-    held = page.within(main) if main and region < _ARTICLE else None
-    if held and not any(held[b[5]] for b in usable):
-        held = None
+    held = page.within(main) if main and region < _ARTICLE else ()
+    if not any(held[b[0]] for b in usable if held):
+        held = ()
     kept = []
-    for path, text, where, _, links, element, _ in usable:
+    for element, text, where, _, links, _ in usable:
         if not held[element] if held else where < region or where == 0 and links > 0.5:
             continue
-        if not held and not region and template and _place(path, text) in template:
+        if not held and not region and template and _place(page.paths[element], text) in template:
             continue
         kept.append(text)
     return " ".join(kept)

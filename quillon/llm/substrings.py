@@ -10,7 +10,9 @@ one before.  Strings are judged on the input; matches never cross documents.
    earliest of a class in the shard are marked there.
 3. Anchors: what is left are the earliest strings of each shard.  Every string contains an anchor, its least-hashed run of
    ``K`` bytes; neighbours with the same anchor form a stretch.  Stretches are brought together by their anchor's hash.
-   A stretch equal to an earlier one goes whole.
+   A stretch equal to an earlier one goes whole.  Anchors of very many stretches (``COMMON`` or more, estimated from a
+   sample) would fill one task; each of their strings is brought together with its equals by its own hash, and at most once from
+   a shard.
 4. Merging: where stretches with one anchor differ, the strings of each distinct stretch are looked up, by binary search, in
    the sorted strings of those before.
 
@@ -39,6 +41,8 @@ SHARD = 1_500_000
 _LAST = (1 << 63) - 1
 #: Ids of whole copies that are sent to all tasks at most; more are joined.
 BROADCAST_ROWS = 200_000
+#: Stretches from which an anchor is common, and the part of documents in which they are counted.
+COMMON, ONE_IN = 20_000, 32
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -78,10 +82,10 @@ def segments(off: np.ndarray, data: np.ndarray, least: int, shard: int):
             i += 1
 
 
-def search(ids: np.ndarray, off: np.ndarray, data: np.ndarray, least: int = LEAST, k: int = K):
+def search(ids: np.ndarray, off: np.ndarray, data: np.ndarray, least: int = LEAST, k: int = K, common: np.ndarray = np.zeros(0, np.int64)):
     """What a shard finds: removed (text, from, to) and stretches (anchor, content, text, start, windows).
 
-    ids: the documents' ids; texts stand in any order.
+    ids: the documents' ids; texts stand in any order; common: anchors whose strings come one by one.
     """
     n = len(data)
     none = np.zeros((0, 3), np.int64)
@@ -112,7 +116,15 @@ def search(ids: np.ndarray, off: np.ndarray, data: np.ndarray, least: int = LEAS
         s = _spans(gone + text[gone] * least, least)  # texts are moved apart so that spans of two never join
         t = text[gone[np.searchsorted(gone + text[gone] * least, s[:, 0])]]
         out = np.stack([t, s[:, 0] - t * least - off[t], s[:, 1] - t * least - off[t]], axis=1)
-    # Stretches of strings with the same anchor.
+    return (out if len(out) else none), _stretches(off, data, text, at, valid, removed, least, k, common)
+
+
+def _stretches(off: np.ndarray, data: np.ndarray, text: np.ndarray, at: np.ndarray, valid: np.ndarray, removed: np.ndarray, least: int, k: int, common: np.ndarray) -> np.ndarray:
+    """(anchor, content, text, start, windows) of the strings of a shard that aren't removed, by stretches with one anchor.
+
+    Strings with one of the anchors in ``common`` (sorted) come one by one, each with its own hashes for anchor and content.
+    """
+    n = len(data)
     sums = prefix(data)
     inverse = powers(n + 1)[1]
     h = sums[k:] - sums[:-k]
@@ -124,21 +136,49 @@ def search(ids: np.ndarray, off: np.ndarray, data: np.ndarray, least: int = LEAS
     low = _sliding_min(packed, least - k + 1)
     anchor = (low & U((1 << bits) - 1)).astype(np.int64)
     del packed, low
-    ok = valid[: n - least + 1]
-    start = np.flatnonzero(ok)
+    start = np.flatnonzero(valid[: n - least + 1])
     if not len(start):
-        return (out if len(out) else none), np.zeros((0, 5), np.int64)
+        return np.zeros((0, 5), np.int64)
     a = anchor[start]
     new = np.r_[True, (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1)]
     head = np.flatnonzero(new)
     size = np.diff(np.r_[head, len(start)])
     # A stretch all of whose strings start earlier in the shard has nothing new for others.
     fresh = size > np.add.reduceat(removed[start].astype(np.int64), head)
+    single = np.zeros((0, 5), np.int64)
+    if len(common):
+        spread = np.isin(h[a[head]].view(np.int64), common)
+        s = start[np.repeat(spread, size) & ~removed[start]]
+        half = s + least // 2
+        second = span_hash(sums, s, half) ^ mix(span_hash(sums, half, s + least) + U(1))
+        single = np.stack([span_hash(sums, s, s + least).view(np.int64), second.view(np.int64), text[s], at[s], np.ones(len(s), np.int64)], axis=1)
+        fresh &= ~spread
     head, size = head[fresh], size[fresh]
     s, i = start[head], a[head]
     content = span_hash(sums, s, s + size + least - 1) ^ mix((i - s).astype(U) * U(0x9E3779B97F4A7C15) + size.astype(U))
-    rows = np.stack([h[i].view(np.int64), content.view(np.int64), text[s], at[s], size], axis=1)
-    return (out if len(out) else none), rows
+    return np.concatenate([np.stack([h[i].view(np.int64), content.view(np.int64), text[s], at[s], size], axis=1), single])
+
+
+def common_anchors(docs: DataFrame, least: int = LEAST, k: int = K, shard_bytes: int = SHARD, rows: int = COMMON, one_in: int = ONE_IN, most: int = BROADCAST_ROWS) -> np.ndarray:
+    """The anchors, sorted, of about ``rows`` or more stretches of docs (key, text), by a count over one document in ``one_in``.
+
+    They only decide by what name strings are brought together, not which are found.  Of more than ``most`` the commonest are named.
+    """
+
+    def anchors(batches):
+        for batch in batches:
+            for _, off, data, _ in segments(*buffers(batch.column("text")), least, shard_bytes):
+                n = len(data)
+                text = np.repeat(np.arange(len(off) - 1), np.diff(off))
+                at = np.arange(n) - off[text]
+                made = _stretches(off, data, text, at, at + least <= np.diff(off)[text], np.zeros(n, bool), least, k, np.zeros(0, np.int64)) if n >= least else np.zeros((0, 5), np.int64)
+                # Equal stretches of a shard would come once.
+                anchor, times = np.unique(np.unique(made[:, :2], axis=0)[:, 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(times.astype(np.int64))], names=["anchor", "n"])
+
+    some = docs.where((F.octet_length("text") >= least) & (F.pmod(F.xxhash64("key", F.octet_length("text")), F.lit(one_in)) == 0))
+    counted = some.select("text").mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") * one_in >= rows)
+    return np.array(sorted(r["anchor"] for r in counted.orderBy(F.desc("n"), "anchor").limit(most).collect()), np.int64)
 
 
 def _lookup(state: list[np.ndarray], group: np.ndarray, doc: np.ndarray, first: np.ndarray, off: np.ndarray, data: np.ndarray, least: int) -> np.ndarray:
@@ -181,7 +221,7 @@ def _ordered(ids: Column) -> Column:
     return F.coalesce(ids.cast("long"), F.lit(_LAST))
 
 
-def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, shard_bytes: int = SHARD) -> tuple[DataFrame, DataFrame]:
+def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, shard_bytes: int = SHARD, common_rows: int = COMMON, one_in: int = ONE_IN) -> tuple[DataFrame, DataFrame]:
     """(docs, spans): docs has (id, key, row, text, whole), spans (key, row, spans: sorted array of from, to) of what goes.
 
     ``whole`` marks copies of texts that are kept elsewhere; they have no spans.
@@ -196,13 +236,14 @@ def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
     few = twins.count() <= BROADCAST_ROWS
     docs = docs.join(F.broadcast(twins) if few else twins, "twin", "left").select("id", "key", "row", "text", F.coalesce(F.col("key") > F.col("first"), F.lit(False)).alias("whole"))
     names = ["anchor", "content", "key", "row", "a", "b"]
+    common = spark.sparkContext.broadcast(common_anchors(docs.where("not whole"), least, K, shard_bytes, common_rows, one_in))
 
     def shard(batches):
         for batch in batches:
             keys, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "row"))
             for i, off, data, base in segments(*buffers(batch.column("text")), least, shard_bytes):
                 ids, own = keys[i : i + len(off) - 1], marks[i : i + len(off) - 1]
-                removed, rows = search(ids, off, data, least)
+                removed, rows = search(ids, off, data, least, K, common.value)
                 removed[:, 1:] += base
                 rows[:, 3] += base
                 gone = [np.full(len(removed), 0, np.int64), np.full(len(removed), 0, np.int64), ids[removed[:, 0]], own[removed[:, 0]], removed[:, 1], -removed[:, 2]]
@@ -279,9 +320,9 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[
     return b"".join(out), [(a, b) for a, b in runs]
 
 
-def deduplicate(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, shard_bytes: int = SHARD) -> DataFrame:
+def deduplicate(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, shard_bytes: int = SHARD, common_rows: int = COMMON, one_in: int = ONE_IN) -> DataFrame:
     """(id, n_bytes, runs: array of from, to; kept: binary) of every row."""
-    docs, spans = repeats(df, doc, text, least, shard_bytes)
+    docs, spans = repeats(df, doc, text, least, shard_bytes, common_rows, one_in)
     kind = df.schema[doc].dataType
 
     def run(batches):

@@ -114,7 +114,7 @@ def test_repeated_rows_keep_their_article(spark, n):
 def test_any_depth():
     deep = "<div>" * 3000
     assert article(f"<nav>x</nav>{deep}<article><p>in</p></article>{'</div>' * 3000}<footer>f</footer>") == "in"
-    assert Page(f"{deep}<p>a</p>").elements[-1][0] != Page(f"{deep}<div><p>a</p>").elements[-1][0]
+    assert Page(f"{deep}<p>a</p>").tokens[-1] != Page(f"{deep}<div><p>a</p>").tokens[-1]
 
 
 @pytest.mark.parametrize("name", ["announcement-body", "social-history", "search-results", "related-work", "side-effects", "comments-on-law", "headerless", "advance", "promote", "noticeable", "menuet"])
@@ -154,7 +154,7 @@ def test_classes_are_those_of_equal_vectors(spark):
         page = Page(html)
         n = len(page.elements) + len(page.blocks)
         first = {}
-        for token, _, kind, _, place in page.tokens():
+        for token, _, kind, _, place in page.occurring():
             vectors[token][i] += 1
             first.setdefault(token, place / n)
             kinds[token] = kind

@@ -29,8 +29,8 @@ def run(df, **more):
     return {r[0]: tuple(r)[1:] for r in made.select("id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")), F.size("runs"), F.sha2("kept", 256)).collect()}
 
 
-@pytest.mark.parametrize("shard_bytes", [2_000, 20_000, 1_500_000])
-def test_any_sharding_gives_the_same(spark, shard_bytes):
+@pytest.mark.parametrize(("shard_bytes", "common"), [(2_000, 1 << 40), (20_000, 1 << 40), (1_500_000, 1 << 40), (2_000, 0), (20_000, 3), (2_000, 5)])
+def test_any_sharding_gives_the_same(spark, shard_bytes, common):
     """Copies, shared passages, near copies, periodic and long texts, in shuffled order."""
     passage = prose(50, 60)
     docs = []
@@ -45,7 +45,7 @@ def test_any_sharding_gives_the_same(spark, shard_bytes):
     docs += [(80, "ab" * 400), (81, "ab" * 300 + "c" + "ab" * 300), (82, "é" * 300), (83, "x" * 99), (84, "x" * 100), (85, "y" + "x" * 100), (86, prose(7, 3000) + prose(8, 1500) + prose(7, 3000)), (87, ""), (88, None)]
     docs = [(d * 7919 % 1009, t) for d, t in docs]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    assert run(df, shard_bytes=shard_bytes) == brute(docs)
+    assert run(df, shard_bytes=shard_bytes, common_rows=common, one_in=1) == brute(docs)
 
 
 def brute_rows(docs, least=100):
@@ -68,15 +68,31 @@ def brute_rows(docs, least=100):
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [700, 3_000, 1_500_000])
-def test_null_and_shared_ids_lose_only_what_is_repeated(spark, shard_bytes):
+@pytest.mark.parametrize(("shard_bytes", "common"), [(700, 1 << 40), (3_000, 1 << 40), (1_500_000, 1 << 40), (700, 0)])
+def test_null_and_shared_ids_lose_only_what_is_repeated(spark, shard_bytes, common):
     x, y, z, v = (prose(i, 70) for i in (301, 302, 303, 304))
     docs = [(0, x), (None, x + y), (None, z), (None, z), (None, y + v), (None, None), (1, x + v), (1, z + "!"), (1, "! " + z), (1, x + v), (2, v), (2, y + x), (None, "q" * 150), (5, prose(305, 30) + x + z), (5, prose(306, 40) + z + x)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    made = deduplicate(df, shard_bytes=shard_bytes).select("id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.sha2("kept", 256))
+    made = deduplicate(df, shard_bytes=shard_bytes, common_rows=common, one_in=1).select("id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.sha2("kept", 256))
     assert collections.Counter(tuple(r) for r in made.collect()) == brute_rows(docs)
 
 
+def test_common_anchors_are_found_and_spread(spark):
+    """A passage with other text around it in each document: its strings come from many stretches of few anchors."""
+    from quillon.llm.substrings import common_anchors, repeats
+
+    rare = prose(60, 16)
+    docs = [(i, prose(7000 + i, 12) + " " + rare + " " + prose(9000 + i, 12)) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    keyed = df.selectExpr("doc_id as key", "text")
+    every, some = common_anchors(keyed, shard_bytes=5_000, rows=150, one_in=1), common_anchors(keyed, shard_bytes=5_000, rows=150, one_in=4)
+    assert 0 < len(every) < 50 and set(some) & set(every)
+    assert len(common_anchors(keyed, shard_bytes=5_000, rows=150, one_in=1, most=1)) == 1
+    a = run(df, shard_bytes=5_000, common_rows=150, one_in=4)
+    assert a == run(df, shard_bytes=5_000, common_rows=1 << 40) == brute(docs)
+    assert repeats(df, shard_bytes=5_000, common_rows=150, one_in=4)[1].count() > 500
+
+
 def test_lookup_over_blocks_is_that_over_one():
     """Stretches of one anchor that come in several blocks, with equal starts under one id."""
     import numpy as np
