@@ -81,7 +81,7 @@ def test_common_anchors_are_found_and_spread(spark):
     """A passage with other text around it in each document: its strings come from many stretches of few anchors."""
     from quillon.llm.substrings import common_anchors, repeats
 
-    rare = prose(60, 16)
+    rare = prose(60, 30)
     docs = [(i, prose(7000 + i, 12) + " " + rare + " " + prose(9000 + i, 12)) for i in range(600)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     keyed = df.selectExpr("doc_id as key", "text")
