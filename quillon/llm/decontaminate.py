@@ -191,6 +191,15 @@ class Index:
         return out
 
 
+def unsearchable(items: DataFrame, item: str = "item_id", item_text: str = "text", n: int = 5) -> DataFrame:
+    """(item, words) of items with fewer than n words, null and empty ones too: they have no shingle, so nothing is found for them.
+
+    Scripts without spaces count a run of characters as one word.
+    """
+    words = F.size(F.regexp_extract_all(F.coalesce(F.col(item_text).cast("string"), F.lit("")), F.lit(r"[A-Za-z0-9\x{80}-\x{10FFFF}]+"), F.lit(0)))
+    return items.select(F.col(item).alias("item"), words.alias("words")).where(F.col("words") < n)
+
+
 def _item_blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[object, str | None]]]:
     """The items in blocks of about ITEM_BYTES."""
     total = items.agg(F.sum(F.octet_length(text) + 100)).first()[0] or 0

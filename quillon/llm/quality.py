@@ -70,7 +70,7 @@ def measure(off: np.ndarray, data: np.ndarray, window: int = 8, min_repeat: int
     return [per_text(n, doc), n_chars, n_symbols, n_dup, n_repeat, n_covered, top]
 
 
-def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, min_words: int = 20, window: int = 8, max_repeat_percent: int = 30, min_repeat: int = 5, max_covered: float = 0.4, max_longest: int = 200) -> tuple[DataFrame, str]:
+def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, min_words: int = 20, window: int = 8, max_repeat_percent: int = 30, min_repeat: int = 5, max_covered: float = 0.4, max_longest: int = 100) -> tuple[DataFrame, str]:
     """The columns ``keep`` (all by default) and a struct with FIELDS, covered, base_failed and kept; and the struct's name."""
     keep = df.columns if keep is None else keep
     out = fresh(df, "quality")
@@ -108,5 +108,5 @@ x AS (SELECT k, doc_id, len(w)::bigint AS n_words, length(array_to_string(w, '')
 z AS (SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, coalesce(n_dup_lines, 0)::bigint AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_covered, 0) AS n_covered, coalesce(longest_repeat, 0)::bigint AS longest_repeat
   FROM x LEFT JOIN s USING (k) LEFT JOIN y USING (k) LEFT JOIN l USING (k)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN n_words > 0 THEN n_covered / n_words ELSE 0.0::double END AS covered FROM z)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered <= 0.4 AND longest_repeat <= 200 AS kept, n_covered, covered, longest_repeat FROM v
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered <= 0.4 AND longest_repeat <= 100 AS kept, n_covered, covered, longest_repeat FROM v
 """

@@ -3,7 +3,7 @@ import pickle
 import pytest
 
 from quillon.llm import decontaminate
-from quillon.llm.decontaminate import EXPANDED, OP6_SQL, Index, contained, op6_benchmark_decontamination
+from quillon.llm.decontaminate import EXPANDED, OP6_SQL, Index, contained, unsearchable, op6_benchmark_decontamination
 from tests.llm.conftest import prose
 
 
@@ -66,3 +66,8 @@ def test_the_index_is_bounded():
         items = [(i, prose(i, words)) for i in range(count)]
         size = sum(len(t) + 100 for _, t in items)
         assert len(pickle.dumps(Index(items, 5, 64, 0.8))) <= EXPANDED * size + (20 << 20)
+
+
+def test_items_that_cannot_be_sought_are_told(spark):
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "one two, three-four"), (4, "one two three four five"), (5, "漢字漢字漢字。漢字"), (None, "a b")], "item_id long, text string")
+    assert {(r["item"], r["words"]) for r in unsearchable(items).collect()} == {(1, 0), (2, 0), (3, 4), (5, 1), (None, 2)}
