@@ -245,7 +245,44 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.select("doc_id", "text", held_out.alias("held_out"), has_letter(F.col("text")).alias("letter"))
     found, at = identify(docs, model, keep=["doc_id", "held_out", "letter"])
     lang, score = F.col(f"{at}.lang"), F.col(f"{at}.score")
-    return found.select("doc_id", "held_out", F.when(F.col("letter"), lang).otherwise(F.lit("und")).alias("lang_pred"), F.when(F.col("letter") & (lang != "und"), score).otherwise(F.lit(0.0)).alias("score"))
+    return found.select("doc_id", "held_out", F.when(F.col("letter"), lang).otherwise(F.lit("und")).alias("lang_pred"), F.when(F.col("letter") & (lang != "und"), F.round(score, 6)).otherwise(F.lit(0.0)).alias("score"))
+
+
+
+def _crc_table() -> list[int]:
+    made = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        made.append(i)
+    return made
+
+
+def _sql(order: int = ORDER) -> str:
+    """The same model: n-grams are hexadecimal digits, each order has its counts, and code lengths are added up over escapes."""
+    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda c, b: xor(c >> 8, ({_crc_table()})[(xor(c, b) & 255) + 1]::bigint)), 4294967295)"
+    tables, joins, cost = [], [], "CASE WHEN s0.n IS NOT NULL THEN -log2(s0.n / (t0.total + t0.kinds)) ELSE 8 - log2(t0.kinds / (t0.total + t0.kinds)) END"
+    for k in range(order + 1):
+        tables.append(f"g{k} AS MATERIALIZED (SELECT lang, right(g, {2 * k + 2}) AS g, sum(n) AS n FROM c GROUP BY 1, 2), c{k} AS MATERIALIZED (SELECT lang, left(g, {2 * k}) AS g, sum(n) AS total, count(*) AS kinds FROM g{k} GROUP BY 1, 2)")
+        joins.append(f"LEFT JOIN g{k} s{k} ON s{k}.lang = l.lang AND s{k}.g = right(a.g, {2 * k + 2}) LEFT JOIN c{k} t{k} ON t{k}.lang = l.lang AND t{k}.g = substring(a.g, {2 * (order - k) + 1}, {2 * k})")
+        if k:
+            cost = f"CASE WHEN s{k}.n IS NOT NULL THEN (-log2(s{k}.n / (t{k}.total + t{k}.kinds)))::float::double ELSE coalesce((-log2(t{k}.kinds / (t{k}.total + t{k}.kinds)))::float::double, 0) + ({cost}) END"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text, coalesce(({crc}) % 4 = 2, false) AS held_out FROM documents),
+blocks AS (SELECT k, substring(x, 2000 * n + 1, {2000 + 2 * order}) AS x FROM (SELECT k, '{'20' * order}' || hex(encode(text)) AS x FROM d WHERE text <> ''), LATERAL (SELECT unnest(range(0, length(x) // 2000 + 1)) AS n)),
+w AS MATERIALIZED (SELECT k, substring(x, 2 * i + 1, {2 * order + 2}) AS g, count(*) AS n FROM blocks, LATERAL (SELECT unnest(range(0, length(x) // 2 - {order})) AS i) GROUP BY 1, 2),
+c AS MATERIALIZED (SELECT lang, g, sum(n) AS n FROM w JOIN d USING (k) WHERE NOT held_out AND lang IS NOT NULL GROUP BY 1, 2),
+{', '.join(tables)},
+l AS (SELECT DISTINCT lang FROM c), a AS (SELECT DISTINCT g FROM w),
+b AS MATERIALIZED (SELECT l.lang, a.g, {cost} AS bits FROM a CROSS JOIN l {' '.join(joins)}),
+t AS (SELECT w.k, b.lang, sum(w.n * b.bits) AS bits FROM w JOIN b ON w.g = b.g GROUP BY 1, 2),
+m AS (SELECT k, min(bits) AS least FROM t GROUP BY k),
+p AS (SELECT t.k, min(CASE WHEN bits = least THEN lang END) AS lang, 1 / sum(pow(2, greatest(least - bits, -1000))) AS score FROM t JOIN m USING (k) GROUP BY t.k)
+SELECT doc_id, held_out, CASE WHEN regexp_matches(text, '\\p{{L}}') THEN coalesce(p.lang, 'und') ELSE 'und' END AS lang_pred, CASE WHEN regexp_matches(text, '\\p{{L}}') AND p.lang IS NOT NULL THEN round(score, 6) ELSE 0.0 END AS score FROM d LEFT JOIN p USING (k)
+"""
+
+
+OP5_SQL = _sql()
 
 
 __all__ = ["Model", "counts", "identify", "learn", "op5_language_id"]

@@ -355,3 +355,18 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("id").alias("doc_id"), "n_bytes", removed.cast("long").alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+
+
+#: Texts as hexadecimal digits; strings are cut from blocks of a thousand bytes, as a place in a long text is reached from its start.
+OP2_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+blocks AS (SELECT k, coalesce(doc_id, 9223372036854775807) AS id, n * 1000 AS base, substring(x, 2000 * n + 1, 2198) AS x FROM d, LATERAL (SELECT unnest(range(0, length(x) // 2000 + 1)) AS n)),
+w AS (SELECT k, id, base + i AS a, md5_number(substring(x, 2 * i + 1, 200)) AS h FROM blocks, LATERAL (SELECT unnest(range(0, least(1000, length(x) // 2 - 99))) AS i)),
+f AS (SELECT h, min((id, a)) AS first FROM w GROUP BY h HAVING count(*) > 1),
+late AS (SELECT w.k, w.a FROM w JOIN f ON w.h = f.h WHERE (w.id, w.a) > f.first),
+e AS (SELECT k, a, coalesce(a > lag(a) OVER (PARTITION BY k ORDER BY a) + 100, true) AS new FROM late),
+s AS (SELECT k, min(a) AS a, max(a) + 100 AS b FROM (SELECT k, a, sum(new::int) OVER (PARTITION BY k ORDER BY a ROWS UNBOUNDED PRECEDING) AS run FROM e) GROUP BY k, run),
+p AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM s),
+r AS (SELECT p.k, sum(p.b - p.a) AS n_removed, count(*) AS n_spans, string_agg(substring(d.x, 2 * p.before + 1, 2 * (p.a - p.before)), '' ORDER BY p.a) AS head, max(p.b) AS last FROM p JOIN d USING (k) GROUP BY p.k)
+SELECT d.doc_id, length(d.x) // 2 AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substring(d.x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN r USING (k)
+"""

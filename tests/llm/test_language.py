@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm import language
 from quillon.llm.bytesets import buffers
-from quillon.llm.language import learn, op5_language_id
+from quillon.llm.language import OP5_SQL, learn, op5_language_id
+from tests.conftest import SF
 from tests.llm.conftest import ODD
 
 
@@ -121,3 +122,7 @@ def test_odd_rows(spark, folder):
 def test_nothing_to_learn_from(spark, folder, odd):
     bare = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", "n_chars")
     assert {r["lang_pred"] for r in op5_language_id(spark, folder(documents=bare)).collect()} == {"und"}
+
+
+def test_sql(spark, same_rows):
+    same_rows(op5_language_id(spark, SF), OP5_SQL)

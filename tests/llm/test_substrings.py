@@ -4,7 +4,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm.substrings import deduplicate, op2_suffix_array_dedup
+from quillon.llm.substrings import OP2_SQL, deduplicate, op2_suffix_array_dedup
+from tests.conftest import SF
 from tests.llm.conftest import ODD, prose
 
 
@@ -128,3 +129,7 @@ def test_documents_of_the_small_table(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in op2_suffix_array_dedup(spark, d).collect()}
     assert got == brute(docs)
+
+
+def test_sql(spark, same_rows):
+    same_rows(op2_suffix_array_dedup(spark, SF), OP2_SQL)
