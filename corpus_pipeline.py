@@ -42,11 +42,15 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item (operator 6)."""
+    """Documents that contain no benchmark item (operator 6).
+
+    Equal texts contain the same, so what goes is named by the text's hash; texts move only if more go than a broadcast may hold.
+    """
     twin = fresh(docs, "twin")
-    marked = docs.withColumn(twin, F.xxhash64("doc_id", "text"))
+    marked = docs.withColumn(twin, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     found = contained(marked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc=twin)
-    return marked.join(found.select(F.col("doc").alias(twin)).distinct(), twin, "left_anti").select(*docs.columns)
+    gone = cut(found.select(F.col("doc").alias(twin)).distinct())
+    return marked.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, twin, "left_anti").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
