@@ -46,19 +46,28 @@ REACH = 200
 _IDENTIFIERS, _SECRETS = (1, 3), (0, 2, 4, 5)
 
 
-def _found(text: Column, low: Column, number: int) -> Column:
-    """Each match of a kind, with the length of what lies between it and the match before; lengths in code points."""
+def _hits(text: Column, low: Column, number: int) -> Column:
+    """Each match of a kind, as text; none where its anchors are missing."""
+    kind, pattern, _, _ = PATTERNS[number]
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if kind not in ANCHORS:
+        return hits
+    assigned = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")) if kind != "access" else F.lit(True)
+    return F.when(assigned & reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in ANCHORS[kind])), hits)
+
+
+def _found(text: Column, hits: Column, number: int) -> Column:
+    """Each match of a kind, with the length of what lies between it and the match before; lengths in code points.
+
+    No pattern looks beyond its match, so the value is found again in the match alone.
+    """
     kind, pattern, group, _ = PATTERNS[number]
-    p = F.lit(pattern)
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(group)).alias("value"))
-    mixed = lambda x: x.rlike("[0-9]") & x.rlike("[A-Z]") & x.rlike("[a-z]") if PATTERNS[number][0] == "blob" else F.lit(True)
-    rows = F.transform(zipped, lambda z, i: F.struct(F.lit(number).alias("kind"), i.alias("i"), F.length(z.gap).alias("gap"), F.length(z.hit).alias("hit"), F.when(mixed(z.hit), F.length(z.value)).otherwise(0).alias("value")))
+    zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
+    value = (lambda x: F.regexp_extract(x, pattern, group)) if group else lambda x: x
+    mixed = lambda x: x.rlike("[0-9]") & x.rlike("[A-Z]") & x.rlike("[a-z]") if kind == "blob" else F.lit(True)
+    rows = F.transform(zipped, lambda z, i: F.struct(F.lit(number).alias("kind"), i.alias("i"), F.length(z.gap).alias("gap"), F.length(z.hit).alias("hit"), F.when(mixed(z.hit), F.length(value(z.hit))).otherwise(0).alias("value")))
     empty = F.array().cast("array<struct<kind:int,i:int,gap:int,hit:int,value:int>>")
-    may = text.rlike(pattern)
-    if kind in ANCHORS:
-        assigned = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")) if kind != "access" else F.lit(True)
-        may = assigned & reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in ANCHORS[kind])) & may
-    return F.when(may, F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0)))).otherwise(empty)
+    return F.when(F.size(hits) > 0, rows).otherwise(empty)
 
 
 def parts(df: DataFrame, row: str, text: str, carried: list[str], reach: int = REACH) -> DataFrame:
@@ -69,8 +78,10 @@ def parts(df: DataFrame, row: str, text: str, carried: list[str], reach: int = R
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     low = fresh(df, "low")
     df = df.withColumn(low, F.lower(t))
+    names = {k: fresh(df, f"hits{k}") for k in range(len(PATTERNS))}
+    df = df.select(row, *dict.fromkeys([*carried, text]), *(_hits(t, F.col(low), k).alias(n) for k, n in names.items()))
     own = F.array(F.lit(None).cast("struct<kind:int,i:int,gap:int,hit:int,value:int>"))
-    lines = df.select(row, *carried, F.posexplode(F.concat(own, *(_found(t, F.col(low), k) for k in range(len(PATTERNS))))).alias("nth", "p"))
+    lines = df.select(row, *carried, F.posexplode(F.concat(own, *(_found(t, F.col(n), k) for k, n in names.items()))).alias("nth", "p"))
     lines = lines.select(row, *(F.when(F.col("nth") == 0, F.col(c)).alias(c) for c in carried), "p.*").repartition(row)
     along = Window.partitionBy(row, "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.col("hit")).over(along.rowsBetween(Window.unboundedPreceding, 0))
