@@ -102,7 +102,8 @@ def scan(files: DataFrame, config: suppress.Config | None = None, most: int | No
     return found if known is None else suppress.baseline(found, known)
 
 
-_FOUND = ("ruleId", "rule_id"), ("severity", "severity"), ("category", "category"), ("cweId", "cwe_id"), ("message", "message"), ("line", "line"), ("lineContent", "line_content"), ("remediation", "remediation"), ("confidence", "confidence"), ("source", "source"), ("fingerprint", "fingerprint")
+#: Keys of a finding in a response and where each comes from; without a column, from its file.
+_FOUND = ("ruleId", "rule_id"), ("severity", "severity"), ("category", "category"), ("cweId", "cwe_id"), ("message", "message"), ("filePath", None), ("line", "line"), ("lineContent", "line_content"), ("remediation", "remediation"), ("confidence", "confidence"), ("source", "source"), ("fingerprint", "fingerprint")
 
 
 def scan_directory(spark: SparkSession, dir_path: str, max_files: int | None = None, known: DataFrame | None = None, most_files: int = MOST_FILES, advisories: DataFrame | None = None, imports: DataFrame | None = None) -> dict:
@@ -124,7 +125,7 @@ def scan_directory(spark: SparkSession, dir_path: str, max_files: int | None = N
             sums = report.envelope(found, chosen).first().asDict()
             listed = report.ordered(report.by_file(found, listed=True)).limit(most_files)
             rows = [
-                {"filePath": r["file_path"], "language": r["language"], "totalFindings": r["total_findings"], "findings": [{k: f[c] for k, c in _FOUND} | {"filePath": r["file_path"]} for f in r["findings"]], "summary": {s: r[s] for s in SEVERITIES}}
+                {"filePath": r["file_path"], "language": r["language"], "totalFindings": r["total_findings"], "findings": [{k: f[c] if c else r["file_path"] for k, c in _FOUND} for f in r["findings"]], "summary": {s: r[s] for s in SEVERITIES}}
                 for r in listed.toLocalIterator()
             ]
             gone = 0 if known is None else suppress.suppressed(everything, known).count()

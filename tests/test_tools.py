@@ -61,6 +61,13 @@ def test_dependencies_of_a_directory(spark, project):
     assert [v["advisory_id"] for v in less["dependencyVulnerabilities"]] == ["X2"] and less["baseline"] == {"applied": True, "suppressedFindings": 0, "suppressedDependencies": 1}
 
 
+def test_tools_log_how_long_they_took(spark, caplog):
+    with caplog.at_level("DEBUG", logger="quillon.tools"):
+        tools.post_security_review(spark, "o", "r", 3)
+        tools.post_security_review(spark, "o/", "r", 3)
+    assert [r.getMessage().split(" took ")[0] for r in caplog.records if r.name == "quillon.tools"] == ["post_security_review"] * 2
+
+
 def test_all_files_are_listed_or_told_of(spark, project):
     said = _said(tools.scan_directory(spark, str(project), most_files=2))
     assert len(said["files"]) == 2 and said["filesWithFindings"] == 3 and len(said["warnings"]) == 1
