@@ -40,6 +40,8 @@ ANCHORS = {
     "assign": ("passw", "secret", "token", "apikey", "api_key"), "access": ("akia",), "user": ("user", "login", "clientid", "client_id", "accountid", "account_id", "keyid", "key_id"),
     "short": ("pass", "secret", "token", "apikey", "api_key", "pwd"), "endpoint": ("http", "ftp", "jdbc", "postgres", "mysql", "mongodb", "redis", "amqp", "host", "endpoint", "server"),
 }
+#: A pattern that a text has a match of if and only if it has one of the kind's; it doesn't try again inside a run.
+TESTS = {"blob": "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}"}
 BASE = 3
 REACH = 200
 #: Roles of kinds, by number: identifiers, secrets.
@@ -50,6 +52,8 @@ def _hits(text: Column, low: Column, number: int) -> Column:
     """Each match of a kind, as text; none where its anchors are missing."""
     kind, pattern, _, _ = PATTERNS[number]
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if kind in TESTS:
+        return F.when(text.rlike(TESTS[kind]), hits)
     if kind not in ANCHORS:
         return hits
     assigned = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")) if kind != "access" else F.lit(True)

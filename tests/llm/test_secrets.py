@@ -1,10 +1,11 @@
 import hashlib
+import random
 import re
 
 import duckdb
 from pyspark.sql import functions as F
 
-from quillon.llm.secrets import OP1_SQL, PATTERNS, REACH, op1_secret_scans, redact, scan
+from quillon.llm.secrets import OP1_SQL, PATTERNS, REACH, TESTS, op1_secret_scans, redact, scan
 from tests.llm.conftest import ODD, prose
 
 HEX = "0123456789abcdef0123456789abcdef01234567"
@@ -86,6 +87,16 @@ def test_odd_rows(spark, odd, none, folder):
     assert op1_secret_scans(spark, folder(empty=True)).count() == 0
 
 
+def test_quick_tests_decide_as_the_patterns(spark):
+    r = random.Random(12)
+    texts = ["".join(r.choice("aA0+/ .\n=é") if r.random() < 0.06 else r.choice("abzAZ09+/") for _ in range(r.randint(0, 90))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for kind, test in TESTS.items():
+        pattern = next(p[1] for p in PATTERNS if p[0] == kind)
+        got = {row["a"]: row["n"] for row in df.groupBy(F.col("t").rlike(pattern).alias("a"), F.col("t").rlike(test).alias("b")).agg(F.count("*").alias("n")).where("a = b").collect()}
+        assert sum(got.values()) == len(texts) and min(got.values()) > 100
+
+
 def test_columns_of_any_kind_pass(spark):
     """Maps can't be compared or grouped by, and are carried all the same."""
     df = spark.createDataFrame([(1, "token=abcdefghijklm", {"a": 1}), (2, None, None)], "doc_id long, text string, more map<string,int>")
