@@ -17,7 +17,7 @@ from quillon.operators.history import history_secrets, newest
 from quillon.operators.lines import first_files, split_lines, units
 from quillon.operators.match import findings
 from quillon.sources.corpus import code_lines, code_lines_sql, quoted
-from quillon.sources.files import dependencies
+from quillon.sources.files import dependencies, settings_of
 from quillon.sources.rules import BY_ID, RULES, Rule, rules_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,6 +292,19 @@ _MANIFEST_SQL = f"""SELECT (CASE p_partkey % 9 WHEN 5 THEN 'x.org/' WHEN 8 THEN
   'app' || p_partkey || '/' || ({[name for name, _ in _MANIFESTS]})[p_partkey % 9 + 1] AS path FROM part, (VALUES (''), ('-dev')) AS x(s)"""
 
 
+def _settings(spark, sf_dir):
+    """A settings file for each supplier: all keys, some, none, or no JSON."""
+    k = F.col("s_suppkey")
+    n = k.cast("string")
+    text = F.when(k % 5 == 0, F.format_string('{"ignorePaths": ["src/%s", "b"], "ignoreRules": ["R%s"], "minimumSeverity": "high", "failOnSeverity": "critical", "offline": false}', n, n)).when(k % 5 == 1, F.format_string('{"ignorePaths": ["x/%s"], "other": 1}', n)).when(k % 5 == 2, F.lit('{"minimumSeverity": null, "offline": null}')).when(k % 5 == 3, F.lit("{}")).otherwise(F.lit("not json"))
+    made = settings_of(_read(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), n, F.lit("/.quillon.json")).alias("file_path"), text.alias("text")))
+    return made.withColumns({c: F.array_join(c, ",") for c in ("ignore_paths", "ignore_rules")})
+
+
+_SETTINGS_SQL = """SELECT 'p' || s_suppkey || '/.quillon.json' AS file_path, CASE s_suppkey % 5 WHEN 0 THEN 'src/' || s_suppkey || ',b' WHEN 1 THEN 'x/' || s_suppkey ELSE '' END AS ignore_paths, CASE WHEN s_suppkey % 5 = 0 THEN 'R' || s_suppkey ELSE '' END AS ignore_rules,
+  CASE WHEN s_suppkey % 5 = 0 THEN 'high' END AS minimum_severity, CASE WHEN s_suppkey % 5 = 0 THEN 'critical' END AS fail_on_severity, s_suppkey % 5 <> 0 AS offline FROM supplier"""
+
+
 def _manifests(spark, sf_dir):
     return dependencies(_manifest_files(spark, sf_dir))
 
@@ -381,6 +394,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "fingerprints": (lambda s, d: _read(s, d, "nation").select("n_nationkey", fingerprint(F.col("n_nationkey"), F.col("n_name"), F.lit(None)).alias("fingerprint")), "SELECT n_nationkey, sha256(n_nationkey || '|' || n_name || '|') AS fingerprint FROM nation"),
     "history_newest": (_history, "SELECT sha256(event_id::varchar) AS commit_hash, ts AS commit_date, user_id FROM events ORDER BY ts DESC, commit_hash DESC LIMIT 100"),
     "history_secrets": (_history_secrets, _HISTORY_SQL),
+    "settings": (_settings, _SETTINGS_SQL),
     "manifest_dependencies": (_manifests, _MANIFEST_SQL),
     "deps_audit": (_audit, f"WITH {_DEPS} SELECT * FROM v"),
     "deps_threshold": (partial(_audit, least="high"), f"WITH {_DEPS} SELECT * FROM v WHERE {_RANK} >= 3"),

@@ -41,6 +41,22 @@ def settings(path: str, name: str = ".quillon.json") -> Config:
     return Config()
 
 
+_SETTINGS = "struct<ignorePaths:array<string>,ignoreRules:array<string>,minimumSeverity:string,failOnSeverity:string,offline:boolean>"
+
+
+def settings_of(files: DataFrame) -> DataFrame:
+    """(file_path, ignore_paths, ignore_rules, minimum_severity, fail_on_severity, offline) of settings files (file_path, text).
+
+    What is unset, and all of a text that is no JSON object, has the default.
+    """
+    s = F.from_json("text", _SETTINGS)
+    none = F.array().cast("array<string>")
+    return files.withColumn("s", s).select(
+        "file_path", F.coalesce("s.ignorePaths", none).alias("ignore_paths"), F.coalesce("s.ignoreRules", none).alias("ignore_rules"),
+        F.col("s.minimumSeverity").alias("minimum_severity"), F.col("s.failOnSeverity").alias("fail_on_severity"), F.coalesce("s.offline", F.lit(True)).alias("offline"),
+    )
+
+
 _ECOSYSTEMS = {"package.json": "npm", "package-lock.json": "npm", "requirements.txt": "PyPI", "poetry.lock": "PyPI", "go.mod": "Go", "Cargo.lock": "crates.io", "pom.xml": "Maven", "Gemfile.lock": "RubyGems", "composer.lock": "Packagist"}
 
 
