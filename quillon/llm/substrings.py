@@ -3,8 +3,8 @@
 A byte goes if a string of ``least`` bytes that covers it also starts earlier: in a document with a smaller id, or in the same
 one before.  Strings are judged on the input; matches never cross documents.
 
-1. Whole copies: of equal texts only the one with the least id is searched; the others go whole (one row per text is
-   shuffled, combined before).
+1. Whole copies: of equal texts only the one with the least id is searched; the others go whole (one row per text and id is
+   shuffled, combined before).  Rows that repeat both id and text lose the same; one of them is searched for all.
 2. Shards: each task sorts all suffixes of a megabyte or two of documents, or of a part of one longer document
    (Larsson-Sadakane); Kasai's common prefixes give the classes of equal strings of ``least`` bytes, and all but the
    earliest of a class in the shard are marked there.
@@ -231,12 +231,16 @@ def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     docs = df.select(F.col(doc).alias("id"), _ordered(F.col(doc)).alias("key"), t.alias("text"), F.unhex(F.md5(t)).alias("twin"))
     docs = docs.withColumn("row", F.xxhash64("twin"))
-    twins = docs.where(F.octet_length("text") >= least).groupBy("twin").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("twin", "first")
-    twins = cut(twins)
-    few = twins.count() <= BROADCAST_ROWS
-    docs = docs.join(F.broadcast(twins) if few else twins, "twin", "left").select("id", "key", "row", "text", F.coalesce(F.col("key") > F.col("first"), F.lit(False)).alias("whole"))
+    twins = docs.where(F.octet_length("text") >= least).groupBy("twin", "key").agg(F.count("*").alias("n")).groupBy("twin").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min_by("n", "key").alias("n"))
+    twins = cut(twins.where("first < last or n > 1").select("twin", "first", (F.col("n") > 1).alias("again")))
+    few, again = twins.count() <= BROADCAST_ROWS, not twins.where("again").isEmpty()
+    docs = docs.join(F.broadcast(twins) if few else twins, "twin", "left").select("id", "key", "row", "text", F.coalesce(F.col("key") > F.col("first"), F.lit(False)).alias("whole"), F.coalesce("again", F.lit(False)).alias("again"))
+    searched = docs.where("not whole").where(F.octet_length("text") >= least).select("key", "row", "text", "again")
+    if again:  # else each of m such rows would bring the stretches of all m
+        searched = searched.where("not again").unionByName(cut(searched.where("again").dropDuplicates(["key", "row"])))
+    searched, docs = searched.drop("again"), docs.drop("again")
     names = ["anchor", "content", "key", "row", "a", "b"]
-    common = spark.sparkContext.broadcast(common_anchors(docs.where("not whole"), least, K, shard_bytes, common_rows, one_in))
+    common = spark.sparkContext.broadcast(common_anchors(searched, least, K, shard_bytes, common_rows, one_in))
 
     def shard(batches):
         for batch in batches:
@@ -252,7 +256,7 @@ def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
                 made = [rows[:, 0], rows[:, 1], ids[rows[:, 2]], own[rows[:, 2]], rows[:, 3], rows[:, 4]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y]).astype(np.int64)) for x, y in zip(gone, made, strict=True)], names=names)
 
-    found = docs.where("not whole").where(F.octet_length("text") >= least).select("key", "row", "text").mapInArrow(shard, "anchor long, content long, key long, row long, a long, b long")
+    found = searched.mapInArrow(shard, "anchor long, content long, key long, row long, a long, b long")
     by = Window.partitionBy("anchor").orderBy("content", "key", "a")
     everywhere = Window.partitionBy("anchor").orderBy("content", "key", "a").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     one = F.col("b") > 0
@@ -298,7 +302,7 @@ def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
                 stop = np.r_[at[1:] - 1, len(row) - 1] if len(at) else at
                 yield pa.RecordBatch.from_arrays([pa.array(key[row[at]]), pa.array(mark[row[at]]), pa.array(a[row[at]] + nth[at]), pa.array(a[row[stop]] + nth[stop] + least)], names=["key", "row", "a", "b"])
 
-    places = docs.where("not whole").select("key", "row", "text").join(wanted, ["key", "row"]).mapInArrow(contexts, "anchor long, key long, row long, a long, context binary")
+    places = searched.join(wanted, ["key", "row"]).mapInArrow(contexts, "anchor long, key long, row long, a long, context binary")
     merged = places.repartition("anchor").sortWithinPartitions("anchor", "key", "a").mapInArrow(merge, "key long, row long, a long, b long")
     spans = spans.unionByName(merged).groupBy("key", "row").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
     return docs, cut(spans)

@@ -78,6 +78,19 @@ def test_null_and_shared_ids_lose_only_what_is_repeated(spark, shard_bytes, comm
     assert collections.Counter(tuple(r) for r in made.collect()) == brute_rows(docs)
 
 
+def test_repeated_rows_are_searched_once(spark):
+    """Rows that repeat id and text lose what one of them does, without each bringing the spans of all."""
+    from quillon.llm.substrings import repeats
+
+    x, y, z = (prose(i, 70) for i in (311, 312, 313))
+    docs = [(1, x), (2, x + y), (3, "! " + y + z), (None, z + x), (4, x), (5, y[:150] + "?" + y[:150]), (6, None), (7, "short")]
+    once, often = (spark.createDataFrame(docs * m, "doc_id long, text string").repartition(4) for m in (1, 12))
+    spans = [sorted(tuple(r) for r in repeats(df, shard_bytes=700, one_in=1)[1].collect()) for df in (once, often)]
+    assert spans[0] and spans[1] == spans[0]
+    made = deduplicate(often, shard_bytes=700, one_in=1).select("id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.sha2("kept", 256))
+    assert collections.Counter(tuple(r) for r in made.collect()) == brute_rows(docs * 12)
+
+
 def test_common_anchors_are_found_and_spread(spark):
     """A passage with other text around it in each document: its strings come from many stretches of few anchors."""
     from quillon.llm.substrings import common_anchors, repeats
