@@ -21,3 +21,10 @@ def parsed(version: Column) -> Column:
 def before(a: Column, b: Column) -> Column:
     """Whether version a is older than version b; null if one is null."""
     return F.when(a.isNotNull() & b.isNotNull(), parsed(a) < parsed(b))
+
+
+def sort_key(version: Column) -> Column:
+    """Text that sorts, byte by byte, as versions do: each number after its count of digits, then a mark below any digit; null for null."""
+    parts = parsed(version)
+    numbers = F.transform(parts["numbers"], lambda x: F.concat(F.lpad(F.length(x.cast("string")).cast("string"), 2, "0"), x.cast("string")))
+    return F.when(version.isNotNull(), F.concat(F.array_join(numbers, ""), F.lit("!"), parts["released"].cast("string")))
