@@ -139,15 +139,14 @@ def _envelope(spark, sf_dir):
     # A file's lines are numbered, so its first one stands for it: nothing is grouped.
     files = lines.where("line = 1").select("file_path", F.when(readable, F.col("text")).alias("text"))
     everything = findings(lines.where(readable))
-    found = suppress.baseline(everything, _known(everything))
-    one = report.envelope(found, files)
-    audited, gone = _audit(spark, sf_dir), _known_dependencies(spark, sf_dir)
-    left = suppress.baseline(audited, gone).agg(F.count("*").alias("dependency_vulnerabilities"))
-    lost = suppress.suppressed(audited, gone).agg(F.count("*").alias("suppressed_dependencies"))
-    less = suppress.suppressed(everything, _known(everything)).agg(F.count("*").alias("suppressed_findings"))
-    for more in (left, lost, less):
-        one = one.withColumn("one", F.lit(1)).join(more.withColumn("one", F.lit(1)), "one").drop("one")
-    return one.select("*", F.lit("src").alias("directory"), F.lit("compatibility").alias("engine"), F.lit(0).alias("warnings"), F.lit(True).alias("baseline_applied"))
+    # Findings and dependencies repeat much: both are counted before they meet the baseline, which then is asked once.
+    repeated = everything.groupBy("fingerprint", "file_path", "severity").agg(F.count("*").alias("copies"))
+    one = report.envelope(suppress.marked(repeated, _known(everything)), files)
+    audited = suppress.marked(_counted(spark, sf_dir).select("fingerprint", "copies"), _known_dependencies(spark, sf_dir))
+    n = lambda which: F.coalesce(F.sum(F.when(which, F.col("copies"))), F.lit(0).cast("long"))
+    lost = audited.agg(n(~F.col("known")).alias("dependency_vulnerabilities"), n(F.col("known")).alias("suppressed_dependencies"))
+    one = one.withColumn("one", F.lit(1)).join(lost.withColumn("one", F.lit(1)), "one").drop("one")
+    return one.select(*(c for c in one.columns if c != "suppressed_findings"), "suppressed_findings", F.lit("src").alias("directory"), F.lit("compatibility").alias("engine"), F.lit(0).alias("warnings"), F.lit(True).alias("baseline_applied"))
 
 
 def _max_files(spark, sf_dir):
@@ -232,8 +231,12 @@ def _audit(spark, sf_dir, least=None):
     return suppress.threshold(deps.audit(*_dependencies(spark, sf_dir)), least)
 
 
+def _counted(spark, sf_dir):
+    return deps.counted(*_dependencies(spark, sf_dir))
+
+
 def _known_dependencies(spark, sf_dir):
-    return _audit(spark, sf_dir).where(F.endswith("advisory_id", F.lit("3"))).select("fingerprint")
+    return _counted(spark, sf_dir).where(F.endswith("advisory_id", F.lit("3"))).select("fingerprint")
 
 
 def _deps_envelope(spark, sf_dir):

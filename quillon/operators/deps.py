@@ -60,6 +60,11 @@ def _audited(d: DataFrame, advisories: DataFrame, imports: DataFrame | None) ->
     )
 
 
+def counted(dependencies: DataFrame, advisories: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """As ``audit``, but with one row for all copies of a dependency, and their number in ``copies``."""
+    return _audited(_dependencies(dependencies, "path"), advisories, imports)
+
+
 def audit(dependencies: DataFrame, advisories: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """A row for each dependency and advisory of its package that it is old enough for.
 

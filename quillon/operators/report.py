@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.severity import counts
+from quillon.functions.severity import SEVERITIES, counts
 
 
 def by_file(found: DataFrame, listed: bool = False) -> DataFrame:
@@ -53,9 +53,15 @@ def rollup(found: DataFrame, key: str) -> DataFrame:
 
 
 def envelope(found: DataFrame, files: DataFrame) -> DataFrame:
-    """One row of a scan's sums; ``files`` are those scanned.  A file is skipped if its text is null."""
+    """One row of a scan's sums; ``files`` are those scanned.  A file is skipped if its text is null.
+
+    Findings count by ``copies``, if they have it.  With a boolean ``known``, those are left out and make ``suppressed_findings``.
+    """
     scanned = files.agg(F.count_if(F.col("text").isNotNull()).alias("files_scanned"), F.count_if(F.col("text").isNull()).alias("files_skipped"))
-    sums = found.agg(F.countDistinct("file_path").alias("files_with_findings"), F.count("*").alias("total_findings"), *counts(F.col("severity")))
+    copies, is_known = F.col("copies") if "copies" in found.columns else F.lit(1).cast("long"), F.col("known") if "known" in found.columns else F.lit(False)
+    n = lambda which: F.coalesce(F.sum(F.when(which, copies)), F.lit(0).cast("long"))
+    less = [n(is_known).alias("suppressed_findings")] if "known" in found.columns else []
+    sums = found.agg(F.countDistinct(F.when(~is_known, F.col("file_path"))).alias("files_with_findings"), n(~is_known).alias("total_findings"), *(n(~is_known & (F.col("severity") == s)).alias(s) for s in SEVERITIES), *less)
     one = F.lit(1).alias("one")
     return scanned.select(one, "*").join(sums.select(one, "*"), "one").drop("one")
 

@@ -53,6 +53,12 @@ def suppressed(df: DataFrame, known_ones: DataFrame) -> DataFrame:
     return df.join(known_ones.select("fingerprint").distinct(), "fingerprint", "left_semi")
 
 
+def marked(df: DataFrame, known_ones: DataFrame) -> DataFrame:
+    """All rows, with whether a baseline takes them away in ``known``; rows without a fingerprint are never known."""
+    gone = known_ones.select("fingerprint").distinct().withColumn("known", F.lit(True))
+    return df.join(gone, "fingerprint", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def deduplicated(df: DataFrame) -> DataFrame:
     """The first row of each fingerprint, by ``ord`` and line: a minimum per key, combined before the shuffle."""
     rest = [c for c in df.columns if c not in ("ord", "line", "fingerprint")]
