@@ -235,14 +235,19 @@ def _counted(spark, sf_dir):
     return deps.counted(*_dependencies(spark, sf_dir))
 
 
+def _tally(spark, sf_dir, least):
+    deps_, adv, _ = _dependencies(spark, sf_dir)
+    return suppress.threshold(deps.tally(deps_, adv), least)
+
+
 def _known_dependencies(spark, sf_dir):
     return _counted(spark, sf_dir).where(F.endswith("advisory_id", F.lit("3"))).select("fingerprint")
 
 
 def _deps_envelope(spark, sf_dir):
-    found = _audit(spark, sf_dir, "high")
-    sums = found.agg(F.count("*").alias("total_vulnerabilities"), F.lit(True).alias("offline"), *(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES))
-    return sums
+    found = _tally(spark, sf_dir, "high")
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return found.agg(n("copies").alias("total_vulnerabilities"), F.lit(True).alias("offline"), *(n(F.when(F.col("severity") == s, F.col("copies"))).alias(s) for s in SEVERITIES))
 
 
 _V = lambda v: f"[coalesce(try_cast(string_split({v}, '.')[i] AS int), 0) FOR i IN range(1, 7)]"

@@ -80,6 +80,13 @@ def audit(dependencies: DataFrame, advisories: DataFrame, imports: DataFrame | N
     return hit.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copies")
 
 
+def tally(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
+    """(severity, copies): how many rows ``audit`` has of each severity, from distinct versions alone; no row is made for a sum."""
+    bounds = ["package", "ecosystem", "patched_key", "introduced_key", "severity"]
+    a = _advisories(advisories).groupBy(*bounds).agg(F.count("*").alias("advisories"))
+    return _hits(_dependencies(dependencies), a).groupBy("severity").agg(F.sum(F.col("copies") * F.col("advisories")).alias("copies"))
+
+
 def histogram(vulnerabilities: DataFrame) -> DataFrame:
     """(severity, n): the five severities, zero where there is none, and any other that occurs."""
     five = vulnerabilities.sparkSession.createDataFrame([(s,) for s in SEVERITIES], "severity string")

@@ -81,3 +81,16 @@ def test_scan_envelope_matches_and_audits_twice(spark):
     text = plan(catalog.queries()["scan_envelope"](spark, SF))
     assert text.count("explode(hits") == 2
     assert sum("Join Inner" in x and "_key#" in x for x in text.splitlines()) == 2
+
+
+def test_tally_counts_the_rows_of_the_audit(tables, spark):
+    want = Counter(r["severity"] for r in deps.audit(*tables).select("severity").collect())
+    assert dict(map(tuple, deps.tally(*tables).collect())) == want
+    assert {None, "odd"} < set(want)
+    assert deps.tally(tables[0], tables[1].where("false")).count() == 0
+
+
+def test_deps_envelope_makes_no_row_for_a_sum(spark):
+    text = plan(catalog.queries()["deps_envelope"](spark, SF))
+    assert "advisories" in text and "explode" not in text and "sha2" not in text
+    assert sum("Join Inner" in x and "_key#" in x for x in text.splitlines()) == 1
