@@ -406,7 +406,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "manifest_dependencies": (_manifests, _MANIFEST_SQL),
     "deps_audit": (_audit, f"WITH {_DEPS} SELECT * FROM v"),
     "deps_threshold": (partial(_audit, least="high"), f"WITH {_DEPS} SELECT * FROM v WHERE {_RANK} >= 3"),
-    "deps_histogram": (lambda s, d: deps.histogram(_audit(s, d, "medium")), f"WITH {_DEPS} SELECT s.severity, count(v.severity) AS n FROM (VALUES ('critical'), ('high'), ('medium'), ('low'), ('info')) AS s(severity) LEFT JOIN v ON v.severity = s.severity AND {_RANK.replace('severity', 'v.severity', 1)} >= 2 GROUP BY s.severity"),
+    "deps_histogram": (lambda s, d: deps.histogram(_tally(s, d, "medium")), f"WITH {_DEPS} SELECT s.severity, count(v.severity) AS n FROM (VALUES ('critical'), ('high'), ('medium'), ('low'), ('info')) AS s(severity) LEFT JOIN v ON v.severity = s.severity AND {_RANK.replace('severity', 'v.severity', 1)} >= 2 GROUP BY s.severity"),
     "deps_envelope": (_deps_envelope, f"WITH {_DEPS} SELECT count(*) AS total_vulnerabilities, true AS offline, {_COUNTS} FROM v WHERE {_RANK} >= 3"),
     "version_order": (_versions, _VERSIONS_SQL),
     "review_plan": (_plan, f"{_ALL}, {_PLAN} SELECT * FROM plan"),

@@ -88,7 +88,7 @@ def tally(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
 
 
 def histogram(vulnerabilities: DataFrame) -> DataFrame:
-    """(severity, n): the five severities, zero where there is none, and any other that occurs."""
+    """(severity, n): the five severities, zero where there is none, and any other that occurs; rows count by ``copies``, if they have it."""
     five = vulnerabilities.sparkSession.createDataFrame([(s,) for s in SEVERITIES], "severity string")
-    n = vulnerabilities.groupBy("severity").agg(F.count("*").alias("n"))
+    n = vulnerabilities.groupBy("severity").agg((F.sum("copies") if "copies" in vulnerabilities.columns else F.count("*")).alias("n"))
     return five.join(n, "severity", "full_outer").select("severity", F.coalesce("n", F.lit(0)).alias("n"))

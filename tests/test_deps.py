@@ -94,3 +94,12 @@ def test_deps_envelope_makes_no_row_for_a_sum(spark):
     text = plan(catalog.queries()["deps_envelope"](spark, SF))
     assert "advisories" in text and "explode" not in text and "sha2" not in text
     assert sum("Join Inner" in x and "_key#" in x for x in text.splitlines()) == 1
+
+
+def test_histogram_counts_by_copies(tables, spark):
+    """Of a tally and of the audit's rows alike, with severities that are none."""
+    want = sorted(map(tuple, deps.histogram(deps.audit(*tables)).collect()), key=repr)
+    assert sorted(map(tuple, deps.histogram(deps.tally(*tables)).collect()), key=repr) == want
+    assert sorted(map(tuple, deps.histogram(deps.counted(*tables)).collect()), key=repr) == want
+    assert {s for s, _ in want} == {*SEVERITIES, "odd", None}
+    assert {n for _, n in deps.histogram(deps.tally(tables[0], tables[1].where("false"))).collect()} == {0}
