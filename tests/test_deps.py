@@ -103,3 +103,12 @@ def test_histogram_counts_by_copies(tables, spark):
     assert sorted(map(tuple, deps.histogram(deps.counted(*tables)).collect()), key=repr) == want
     assert {s for s, _ in want} == {*SEVERITIES, "odd", None}
     assert {n for _, n in deps.histogram(deps.tally(tables[0], tables[1].where("false"))).collect()} == {0}
+
+
+def test_threshold_is_met_before_the_join(spark):
+    """Advisories below the severity meet no dependency, and versions are parsed before, too."""
+    lines = plan(catalog.queries()["deps_threshold"](spark, SF)).splitlines()
+    at = next(i for i, x in enumerate(lines) if "Join Inner" in x)
+    assert "installed_key" in lines[at] and "regexp" not in lines[at]
+    low = [i for i, x in enumerate(lines) if "Filter" in x and "= high" in x]
+    assert low and min(low) > at
